@@ -7,7 +7,9 @@ import importlib
 #: query name: (module, function)
 NAMES = {
     "op3_simhash_dedup": ("simhash", "op3_simhash_dedup"),
+    "op5_decontaminate": ("decontam", "op5_decontaminate"),
     "op7_mix": ("mix", "op7_mix"),
+    "op10_line_dedup": ("linededup", "op10_line_dedup"),
 }
 
 
