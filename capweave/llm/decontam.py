@@ -177,10 +177,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, thr
     return found.select(F.col("_key").alias(key), F.col("_item").alias(item), "n_shingles", "n_found", (F.col("n_found") / F.col("n_shingles")).alias("containment"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The documents that contain no item, with their own columns. A row whose key is null stays."""
-    found = contamination(docs, benchmark, key=key, **options).select(F.col(key).alias("_found")).distinct()
-    return docs.join(found, docs[key] == found["_found"], "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, hashes: int = HASHES, block_bytes: int = BLOCK_BYTES,
+          text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The documents that contain no item, all columns as they are; one pass for each block of items, no shuffle."""
+    at = docs.columns.index(text)
+
+    def without(rows: DataFrame, block: list) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast((block, width, hashes))
+
+        def run(batches):
+            items = Items(*shared.value)
+            for b in batches:
+                for i in range(0, b.num_rows, 256):
+                    part = b.slice(i, 256)
+                    yield part.filter(pa.array([not items.contained(t, threshold) for t in part.column(at).to_pylist()], pa.bool_()))
+
+        return rows.mapInArrow(run, docs.schema)
+
+    return reduce(without, blocks(benchmark, item, item_text, block_bytes), docs)
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,6 +72,16 @@ def drop_boilerplate(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN
     )
 
 
+def relined(docs: DataFrame, length: str = "n_chars", **options) -> DataFrame:
+    """drop_boilerplate with the columns of docs alone; a column that holds the text's length follows it."""
+    out = drop_boilerplate(docs, **options)
+    text = F.col(options.get("text", "text"))
+    if length in docs.columns:
+        n = F.when(F.col("n_dropped") > 0, F.char_length(text)).otherwise(F.col(length)).cast(docs.schema[length].dataType)
+        out = out.withColumn(length, n)
+    return out.select(*docs.columns)
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return drop_boilerplate(docs).select("doc_id", "n_lines", "n_dropped", "emptied", F.md5(F.col("text").cast("binary")).alias("kept_md5"))

@@ -25,7 +25,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -144,5 +144,14 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, distance: int = DISTANC
     return marked.join(of, "fp").select(F.col("_key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def one_of_each(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
+    """The documents less all but the first key of each component, and less repeats of a key; rows without a key stay."""
+    firsts = near_duplicates(docs, key=key, **options).where(F.col(key) == F.col("component_id")).select(F.col(key).alias("_first")).distinct()
+    joined = docs.join(firsts, docs[key] == firsts["_first"])
+    # the join has already brought a key's rows together, in order
+    kept = joined.withColumn("_n", F.row_number().over(Window.partitionBy("_first").orderBy("_first"))).where("_n = 1")
+    return kept.select(*docs.columns).unionAll(docs.where(F.col(key).isNull()))
+
+
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
