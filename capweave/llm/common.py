@@ -101,3 +101,18 @@ def running(df: DataFrame, part: list[str], order: list[str], value: str, out: s
     """Adds the running sum of value within part, rows in the given total order."""
     w = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn(out, F.sum(value).over(w))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, seed: int, key: str = "doc_id", text: str = "text", folds: int = 5) -> tuple[DataFrame, float]:
+    """((label 0/1, text) of at most per_class training rows of each label, share of label 1 among all training rows).
+
+    Training rows are labelled rows whose crc32(key as text) mod folds is not 0, in a seeded hash order of the key.
+    """
+    rows = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull() & (crc_of(F.col(key)) % folds != 0))
+    rows = rows.select(F.col(key).alias("_k"), (F.col(label) == 1).cast("int").alias("_y")).distinct()
+    share = rows.agg(F.avg("_y")).first()[0]
+    order = Window.partitionBy("_y").orderBy(F.xxhash64(F.lit(seed), "_k"), "_k")
+    chosen = rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_class).drop("_n")
+    # at most 2 * per_class rows of two numbers
+    out = docs.select(F.col(key).alias("_d"), F.col(text).alias("_t")).join(F.broadcast(chosen), F.col("_d") == F.col("_k"))
+    return out.select(F.col("_y").alias("label"), F.col("_t").alias("text")), 0.5 if share is None else float(share)

@@ -10,6 +10,8 @@ NAMES = {
     "op3_simhash_dedup": ("simhash", "op3_simhash_dedup"),
     "op5_decontaminate": ("decontam", "op5_decontaminate"),
     "op7_mix": ("mix", "op7_mix"),
+    "op8_toxicity": ("toxicity", "op8_toxicity"),
+    "op9_quality": ("quality", "op9_quality"),
     "op10_line_dedup": ("linededup", "op10_line_dedup"),
 }
 
