@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from capweave.llm.common import crc_of, labelled_sample, table
 
-PER_CLASS, ENTRIES, MIN_DOCS, MIN_WEIGHT, MIN_Z = 2000, 4000, 5, 2.0, 3.0
+PER_CLASS, ENTRIES, MIN_DOCS, MIN_WEIGHT, MIN_Z = 2000, 4000, 5, 2.0, 4.0
 LETTERS = re.compile(r"[^\W\d_]+")
 #: letters of other scripts that look like Latin ones
 LOOKALIKES = {
