@@ -116,3 +116,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     # at most 2 * per_class rows of two numbers
     out = docs.select(F.col(key).alias("_d"), F.col(text).alias("_t")).join(F.broadcast(chosen), F.col("_d") == F.col("_k"))
     return out.select(F.col("_y").alias("label"), F.col("_t").alias("text")), 0.5 if share is None else float(share)
+
+
+SMALL_ROWS = 200_000
+
+
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """df with a broadcast hint if it has so few rows, else as it is: the join then shuffles."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

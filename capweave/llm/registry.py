@@ -9,6 +9,7 @@ NAMES = {
     "op2_language_id": ("langid", "op2_language_id"),
     "op3_simhash_dedup": ("simhash", "op3_simhash_dedup"),
     "op5_decontaminate": ("decontam", "op5_decontaminate"),
+    "op6_license_scan": ("license", "op6_license_scan"),
     "op7_mix": ("mix", "op7_mix"),
     "op8_toxicity": ("toxicity", "op8_toxicity"),
     "op9_quality": ("quality", "op9_quality"),
