@@ -6,6 +6,7 @@ import importlib
 
 #: query name: (module, function)
 NAMES = {
+    "op1_ann": ("ann", "op1_ann"),
     "op2_language_id": ("langid", "op2_language_id"),
     "op3_simhash_dedup": ("simhash", "op3_simhash_dedup"),
     "op5_decontaminate": ("decontam", "op5_decontaminate"),
