@@ -9,6 +9,7 @@ NAMES = {
     "op1_ann": ("ann", "op1_ann"),
     "op2_language_id": ("langid", "op2_language_id"),
     "op3_simhash_dedup": ("simhash", "op3_simhash_dedup"),
+    "op4_substring_dedup": ("substrings", "op4_substring_dedup"),
     "op5_decontaminate": ("decontam", "op5_decontaminate"),
     "op6_license_scan": ("license", "op6_license_scan"),
     "op7_mix": ("mix", "op7_mix"),
