@@ -28,7 +28,6 @@ from pyspark.sql import types as T
 from capweave.llm.common import table
 
 WIDTH, THRESHOLD, HASHES, BLOCK_BYTES = 5, 0.8, 64, 4 << 20
-PIECE = 1 << 15
 _RNG = np.random.default_rng(20240501)
 _ODD = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -78,60 +77,67 @@ class Items:
             h = np.unique(_shingle_ids(_word_ids(w, self.known), k))
             hashed.append(h)
             by_class.setdefault((k, 1 << (len(h) - 1).bit_length()), []).append(n)
-        #: (shingle width, window) -> for each hash function the sorted minima and the item of each
+        #: (shingle width, window) -> for each hash function the distinct minima in order and the items of each
         self.classes = {}
         for key, members in sorted(by_class.items()):
             tables = []
             for i in range(hashes):
-                low = np.array([_minima(hashed[n], i).min() for n in members], np.uint64)
-                order = np.argsort(low, kind="stable")
-                tables.append((low[order], np.array(members)[order]))
+                of: dict[int, list[int]] = {}
+                for n in members:
+                    of.setdefault(int(_minima(hashed[n], i).min()), []).append(n)
+                tables.append((np.array(sorted(of), np.uint64), [of[x] for x in sorted(of)]))
             self.classes[key] = tables
 
-    def candidates(self, ids: np.ndarray) -> set[int]:
-        """Items one of whose minima is also that of a window of the document."""
-        out: set[int] = set()
-        shingles: dict[int, np.ndarray] = {}
-        for (k, size), tables in self.classes.items():
-            if len(ids) < k:
+    def candidates(self, docs: list[np.ndarray]) -> list[set[int]]:
+        """For each document, given as word ids, the items one of whose minima is also that of one of its windows."""
+        out: list[set[int]] = [set() for _ in docs]
+        widths: dict[int, tuple] = {}
+        for k in {k for k, _ in self.classes}:
+            # shingles with a word that no item has are left out: they are in no item, and windows only get more similar
+            kept, of = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            for d, ids in enumerate(docs):
+                if len(ids) >= k:
+                    sums = np.concatenate([[0], np.cumsum(ids > 0)])
+                    h = _shingle_ids(ids, k)[sums[k:] - sums[:-k] == k]
+                    kept.append(h)
+                    of.append(np.full(len(h), d))
+            h, doc = np.concatenate(kept), np.concatenate(of)
+            first = np.searchsorted(doc, doc, "left")
+            widths[k] = h, doc, np.arange(len(h)) - first
+        for k, (h, doc, pos) in widths.items():
+            if not len(h):
                 continue
-            if k not in shingles:
-                shingles[k] = _shingle_ids(ids, k)
-            whole = shingles[k]
-            for at in range(0, len(whole), PIECE):
-                h = whole[at : at + PIECE + 2 * size]  # a window over the end of a piece stands in the next one too
-                starts = np.arange(0, len(h), size)
-                for i, (low, members) in enumerate(tables):
-                    block = np.minimum.reduceat(_minima(h, i), starts)
-                    window = np.minimum(block[:-1], block[1:]) if len(block) > 1 else block
-                    left, right = np.searchsorted(low, window, "left"), np.searchsorted(low, window, "right")
-                    for a, b in {(a, b) for a, b in zip(left[left < right].tolist(), right[left < right].tolist())}:
-                        out.update(members[a:b].tolist())
+            cuts = {size: np.flatnonzero(pos % size == 0) for kk, size in self.classes if kk == k}
+            for i in range(self.hashes):
+                x = _minima(h, i)
+                for size, starts in cuts.items():
+                    block, owner = np.minimum.reduceat(x, starts), doc[starts]
+                    window = block.copy()
+                    window[:-1] = np.where(owner[1:] == owner[:-1], np.minimum(block[:-1], block[1:]), block[:-1])
+                    low, members = self.classes[k, size][i]
+                    at = np.minimum(np.searchsorted(low, window), len(low) - 1)
+                    for w in np.flatnonzero(low[at] == window).tolist():
+                        out[owner[w]].update(members[at[w]])
         return out
 
-    def contained(self, text: str | None, threshold: float) -> list[tuple]:
-        """(item, its shingles, those that the document holds) for each item that it contains."""
-        words = words_of(text)
-        ids = _word_ids(words, self.known)
-        run = ids > 0  # a shingle of an item has benchmark words only; documents without any such run end here
-        if not run.any():
-            return []
-        found = sorted(self.candidates(ids))
-        if not found:
-            return []
-        held: dict[int, set[bytes]] = {}
-        out = []
-        for n in found:
-            want = self.shingles[n]
-            k = next(iter(want)).count(b" ") + 1
-            if k not in held:
-                # only starts of k benchmark words in a row can be shingles of an item
-                sums = np.concatenate([[0], np.cumsum(run)])
-                at = np.flatnonzero(sums[k:] - sums[:-k] == k) if len(words) >= k else []
-                held[k] = {b" ".join(words[i : i + k]) for i in at}
-            both = len(want & held[k])
-            if both >= threshold * len(want) - 1e-9:
-                out.append((self.ids[n], len(want), both))
+    def search(self, texts: list, threshold: float) -> list[list[tuple]]:
+        """For each text, (item, its shingles, those that the text holds) for each item that it contains."""
+        docs = [words_of(t) for t in texts]
+        ids = [_word_ids(w, self.known) for w in docs]
+        out: list[list[tuple]] = []
+        for words, known, found in zip(docs, ids, self.candidates(ids)):
+            held: dict[int, set[bytes]] = {}
+            hits = []
+            for n in sorted(found):
+                want = self.shingles[n]
+                k = next(iter(want)).count(b" ") + 1
+                if k not in held:
+                    sums = np.concatenate([[0], np.cumsum(known > 0)])
+                    held[k] = {b" ".join(words[i : i + k]) for i in np.flatnonzero(sums[k:] - sums[:-k] == k).tolist()}
+                both = len(want & held[k])
+                if both >= threshold * len(want) - 1e-9:
+                    hits.append((self.ids[n], len(want), both))
+            out.append(hits)
         return out
 
 
@@ -165,7 +171,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, thr
                 key_type = b.schema.field(0).type
                 for i in range(0, b.num_rows, 256):
                     part = b.slice(i, 256)
-                    hits = [(k, *hit) for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) for hit in items.contained(t, threshold)]
+                    hits = [(k, *hit) for k, found in zip(part.column(0).to_pylist(), items.search(part.column(1).to_pylist(), threshold)) for hit in found]
                     if hits:
                         k, it, n, m = zip(*hits)
                         yield pa.RecordBatch.from_arrays([pa.array(k, key_type), pa.array(it), pa.array(n, pa.int64()), pa.array(m, pa.int64())], names=["_key", "_item", "n_shingles", "n_found"])
@@ -190,7 +196,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, threshold:
             for b in batches:
                 for i in range(0, b.num_rows, 256):
                     part = b.slice(i, 256)
-                    yield part.filter(pa.array([not items.contained(t, threshold) for t in part.column(at).to_pylist()], pa.bool_()))
+                    yield part.filter(pa.array([not found for found in items.search(part.column(at).to_pylist(), threshold)], pa.bool_()))
 
         return rows.mapInArrow(run, docs.schema)
 
