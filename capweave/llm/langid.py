@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from capweave.llm.common import crc_of, stored, table
+from capweave.llm.common import crc_of, small, stored, table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLE_DOCS, ROUNDS, LONGEST, CACHE = 1000, 3, 32, 400_000
@@ -167,6 +167,7 @@ def train(labelled: DataFrame, path: str = VOCABULARY, sample_docs: int = SAMPLE
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
     first = Window.partitionBy("_l").orderBy(F.xxhash64(F.lit(3), "_k"), "_k")
     chosen = rows.select(F.col(key).alias("_k"), F.col(lang).alias("_l")).distinct().withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= sample_docs)
+    chosen = small(stored(chosen.select("_k", "_l")))
     texts = rows.join(chosen, (F.col(key) == F.col("_k")) & (F.col(lang) == F.col("_l"))).select(F.col("_l").alias("lang"), F.col(text).alias("text"))
 
     def count(batches):
