@@ -9,10 +9,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*://"
-_HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)"
-_PATH = r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)"
-_QUERY = r"^[^?#]*(\?[^#]*)"
-#: what no URI holds: blanks, non-ASCII, some signs, a bare percent
+_BLANK = r"[\s\x00]"
+#: before the host: blanks, a wildcard, a scheme if there is one, user and password
+_LEAD = rf"^{_BLANK}*(?:\*\.)?(?:[A-Za-z][A-Za-z0-9+.\-]*://)?"
+_HOST = _LEAD + r"(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:\s]*)"
+#: path and query, up to a fragment or one final wildcard
+_REST = _LEAD + rf"[^/?#]*([^#]*?)(?:#[\s\S]*|\*?{_BLANK}*)$"
+_NAMED_SCHEME = rf"^{_BLANK}*(?:\*\.)?([A-Za-z][A-Za-z0-9+.\-]*)://"
+_PLAIN = r"[!#$&-;=?-\[\]_a-z~]*+"
+#: what may be a URI: no blanks inside, ASCII, no odd signs, no bare percent
+_VALID = rf"^{_BLANK}*{_PLAIN}(?:%[0-9A-Fa-f]{{2}}{_PLAIN})*+{_BLANK}*$"
 _INVALID = r"[^!-~]|[\"<>\\^`{|}]|%(?![0-9A-Fa-f]{2})"
 CRAWL_PATH = r"(^|/)(crawl-data|cc-index/collections)/CC-MAIN-\d{4}-\d{2}(/|$)"
 _FILENAME = r"^crawl-data/([^/]+)/segments/([^/]+)/(warc|robotstxt|crawldiagnostics)/(.+)-(\d{5})\.warc\.gz$"
@@ -24,7 +30,7 @@ def _extract(c: Column, pattern: str, group: int = 1) -> Column:
 
 def canonical_host(host: Column) -> Column:
     """Lower case, without one final dot and without a leading www."""
-    return F.regexp_replace(F.regexp_replace(F.lower(host), r"\.$", ""), r"^www\.", "")
+    return F.regexp_replace(F.lower(host), r"^www\.(?=.)|\.$", "")
 
 
 def host_to_surt(host: Column) -> Column:
@@ -32,33 +38,23 @@ def host_to_surt(host: Column) -> Column:
     return F.array_join(F.reverse(F.split(canonical_host(host), r"[.]", -1)), ",")
 
 
-def cleaned(url: Column) -> Column:
-    """Trimmed, without wildcards at either end, with a scheme."""
-    u = F.regexp_replace(F.regexp_replace(url, r"^[\s\x00]+|[\s\x00]+$", ""), r"^\*\.", "")
-    u = F.regexp_replace(u, r"\*$", "")
-    return F.when(u.rlike(_SCHEME), u).otherwise(F.concat(F.lit("http://"), u))
-
-
 def valid(url: Column) -> Column:
-    return ~cleaned(url).rlike(_INVALID)
+    return url.rlike(_VALID)
 
 
 def url_scheme(url: Column) -> Column:
-    """The scheme that the text itself names, lower-cased, else null."""
-    u = F.regexp_replace(F.regexp_replace(url, r"^[\s\x00]+", ""), r"^\*\.", "")
-    return F.when(valid(url) & u.rlike(_SCHEME), F.lower(_extract(u, r"^([A-Za-z][A-Za-z0-9+.\-]*)://")))
+    """The scheme that the text itself names, lower-cased, else empty."""
+    return F.lower(_extract(url, _NAMED_SCHEME))
 
 
 def url_host(url: Column) -> Column:
     """The canonical host; null where the text is no URL, which then matches nothing."""
-    return F.when(valid(url), canonical_host(_extract(cleaned(url), _HOST)))
+    return F.when(valid(url), canonical_host(_extract(url, _HOST)))
 
 
 def url_path_query(url: Column) -> Column:
-    """Path (at least /) and query, without fragment; null where the text is no URL."""
-    u = cleaned(url)
-    path = _extract(u, _PATH)
-    return F.when(valid(url), F.concat(F.when(path == "", F.lit("/")).otherwise(path), _extract(u, _QUERY)))
+    """Path (at least /) and query, without fragment; null where the text is no URL. A leading / is put before a bare query."""
+    return F.when(valid(url), F.regexp_replace(_extract(url, _REST), r"^(?!/)", "/"))
 
 
 def surt(url: Column) -> Column:
@@ -67,11 +63,10 @@ def surt(url: Column) -> Column:
 
 
 def url_path(url: Column) -> Column:
-    """The path alone, possibly empty; of what is no URL, the text before a query or fragment."""
-    bare = F.regexp_extract(F.coalesce(url, F.lit("")), r"^([^?#]*)", 1)
+    """The path alone, possibly empty; of what is no URI, the text before a query or fragment."""
     text = F.coalesce(url, F.lit(""))
-    path = F.when(text.rlike(_SCHEME), _extract(text, _PATH)).otherwise(F.regexp_extract(text, r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)", 1))
-    return F.when(text.rlike(_INVALID), bare).otherwise(path)
+    path = _extract(text, r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)")
+    return F.when(text.rlike(rf"^{_PLAIN}(?:%[0-9A-Fa-f]{{2}}{_PLAIN})*+$"), path).otherwise(_extract(text, r"^([^?#]*)"))
 
 
 def path_basename(path: Column) -> Column:
@@ -134,13 +129,11 @@ def surt_host(host: str) -> str:
 
 def parse_literal(text: str) -> Url:
     text = re.sub(r"\*$", "", re.sub(r"^\*\.", "", text.strip()))
-    named = re.match(_SCHEME, text)
-    full = text if named else f"http://{text}"
-    if re.search(_INVALID, full):
+    if re.search(_INVALID, text):
         host, slash, rest = text.partition("/")
         return Url(None, literal_host(host), f"/{rest}" if slash else "/")
-    host, path, query = re.match(_HOST, full), re.match(_PATH, full), re.match(_QUERY, full)
-    return Url(full.partition("://")[0].lower() if named else None, literal_host(host[1]), (path[1] or "/") + (query[1] if query else ""))
+    scheme, rest = re.match(_NAMED_SCHEME, text), re.match(_REST, text)[1]
+    return Url(scheme[1].lower() if scheme else None, literal_host(re.match(_HOST, text)[1]), rest if rest.startswith("/") else f"/{rest}")
 
 
 def prefix_successor(prefix: str) -> str | None:

@@ -45,7 +45,7 @@ class UrlPattern:
             "exact": lambda: (host == want.host) & (path == want.path),
             "prefix": lambda: (host == want.host) & path.startswith(want.path),
             "host": lambda: host == want.host,
-            "domain": lambda: (host == want.host) | host.endswith(f".{want.host}"),
+            "domain": lambda: F.concat(F.lit("."), host).endswith(f".{want.host}"),
         }[self.mode]()
         if want.scheme:
             hit = (urls.url_scheme(url) == want.scheme) & hit
