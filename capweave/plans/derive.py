@@ -162,7 +162,7 @@ def batch(spark: SparkSession, sources: list[str], output: str, plan: Plan, fmt:
     """Derives each text shard into `output`, one output for each, resumable shard by shard.
 
     A collapse is over all inputs together: winners are picked once and every shard keeps its own. An output is done when it
-    was written, read back and found to hold the planned rows; only then may its source be deleted.
+    was written, read back and found to hold the planned rows; sources are deleted only when all outputs are.
     """
     files = Files(spark)
     sources = sorted(set(sources))
@@ -183,36 +183,38 @@ def batch(spark: SparkSession, sources: list[str], output: str, plan: Plan, fmt:
     whole = read_text(spark, sources, strict=strict) if plan.collapse and all(files.exists(s) for s in sources) else None
     winners = plan.select(whole) if whole is not None else None
     for e in entries:
-        if e.state == "deleted" or (e.state == "complete" and not delete_sources):
+        if e.state in ("complete", "delete_pending", "deleted"):
             continue
-        if e.state not in ("complete", "delete_pending"):
-            if files.info(e.source).size != e.source_size and e.source_size >= 0 and old is not None:
-                raise CaptureError(f"{e.source} changed since the plan was made")
-            e.state = "processing"
+        if files.info(e.source).size != e.source_size:
+            raise CaptureError(f"{e.source} changed since the plan was made")
+        e.state = "processing"
+        book.save(signature, entries)
+        try:
+            rows = winners.where(F.col("file_ord") == sources.index(e.source)) if winners is not None else plan.select(read_text(spark, [e.source], strict=strict))
+            if check and fmt == "packed":
+                packed.checked(rows)
+            expected = fingerprint(rows).first().asDict()
+            WRITERS[fmt](rows, e.output, force or old is not None)
+            got = fingerprint(spark.read.parquet(e.output)).first().asDict() if fmt == "packed" else {"record_count": spark.read.text(e.output).count()}
+            if got["record_count"] != expected["record_count"] or (fmt == "packed" and got != expected):
+                raise CaptureError(f"{e.output} does not hold the planned rows")
+            if files.info(e.source).size != e.source_size:
+                raise CaptureError(f"{e.source} changed while it was read")
+            e.state, e.record_count, e.fingerprint, e.error = "complete", expected["record_count"], expected, None
+        except Exception as error:
+            e.state, e.error = "failed", str(error)[:500]
             book.save(signature, entries)
-            try:
-                rows = winners.where(F.col("file_ord") == sources.index(e.source)) if winners is not None else plan.select(read_text(spark, [e.source], strict=strict))
-                if check and fmt == "packed":
-                    packed.checked(rows)
-                expected = fingerprint(rows).first().asDict()
-                WRITERS[fmt](rows, e.output, force or old is not None)
-                got = fingerprint(spark.read.parquet(e.output)).first().asDict() if fmt == "packed" else {"record_count": spark.read.text(e.output).count()}
-                if got["record_count"] != expected["record_count"] or (fmt == "packed" and got != expected):
-                    raise CaptureError(f"{e.output} does not hold the planned rows")
-                if files.info(e.source).size != e.source_size:
-                    raise CaptureError(f"{e.source} changed while it was read")
-                e.state, e.record_count, e.fingerprint, e.error = "complete", expected["record_count"], expected, None
-            except Exception as error:
-                e.state, e.error = "failed", str(error)[:500]
-                book.save(signature, entries)
-                raise
-            book.save(signature, entries)
-        if delete_sources:
+            raise
+        book.save(signature, entries)
+        if progress:
+            progress(e)
+    for e in entries if delete_sources else []:  # only now: a collapse reads all sources for each output
+        if e.state != "deleted":
             e.state = "delete_pending"
             book.save(signature, entries)
             files.delete(e.source)
             e.state = "deleted"
             book.save(signature, entries)
-        if progress:
-            progress(e)
+            if progress:
+                progress(e)
     return entries
