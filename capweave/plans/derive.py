@@ -116,7 +116,7 @@ def text_lines(df: DataFrame) -> DataFrame:
 
 
 #: writers by format; a caller may add its own
-WRITERS: dict[str, Callable[..., object]] = {"packed": lambda df, path, force: packed.write_packed(df, path, force)["record_count"], "cdxj": lambda df, path, force: write_cdxj(df, path, True, force)}
+WRITERS: dict[str, Callable[..., object]] = {"packed": lambda df, path, force: packed.write_packed(df, path, force, check=False)["record_count"], "cdxj": lambda df, path, force: write_cdxj(df, path, True, force)}
 
 
 def output_name(source: str, fmt: str = "packed", beside: bool = False) -> str:
