@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from capweave.llm.common import small, stored, table
 from capweave.llm.suffix import Text, repeated_classes
 
-LENGTH, GRAM, CROWD, SHARD_BYTES = 50, 26, 5000, 2 << 20
+LENGTH, GRAM, CROWD, SHARD_BYTES = 50, 26, 100_000, 1 << 20
 PIECE = 1 << 20
 _B = 0x9E3779B97F4A7C15 | 1
 
@@ -159,7 +159,7 @@ def _shared_anchors(texts: DataFrame, length: int, gram: int, crowd: int) -> Dat
 
 
 def _contexts(sharing: DataFrame, length: int, gram: int) -> DataFrame:
-    """(anchor, ctx, low, high): contexts with the smallest and largest id that show them, combined within each task's batches."""
+    """(anchor, ctx, at, low, high): contexts, where the gram is in them, with the smallest and largest id that show them, combined within each task's batches."""
 
     def run(batches):
         for b in batches:
@@ -169,25 +169,39 @@ def _contexts(sharing: DataFrame, length: int, gram: int) -> DataFrame:
                     raw = t.encode("utf-8", "surrogatepass")
                     for p in places:
                         if p + gram <= len(raw):
-                            c = context(raw, p, length, gram)[1]
-                            key = (raw[p : p + gram], c)
+                            start, c = context(raw, p, length, gram)
+                            key = (raw[p : p + gram], c, p - start)
                             old = seen.get(key)
                             seen[key] = (d, d) if old is None else (min(d, old[0]), max(d, old[1]))
                 if seen:
                     yield pa.RecordBatch.from_arrays([
-                        pa.array([xxhash.xxh64_intdigest(k[0]) - (1 << 63) for k in seen], pa.int64()), pa.array([k[1] for k in seen], pa.binary()),
-                        pa.array([v[0] for v in seen.values()], pa.int64()), pa.array([v[1] for v in seen.values()], pa.int64())], names=["anchor", "ctx", "low", "high"])
+                        pa.array([xxhash.xxh64_intdigest(k[0]) - (1 << 63) for k in seen], pa.int64()), pa.array([k[1] for k in seen], pa.binary()), pa.array([k[2] for k in seen], pa.int32()),
+                        pa.array([v[0] for v in seen.values()], pa.int64()), pa.array([v[1] for v in seen.values()], pa.int64())], names=["anchor", "ctx", "at", "low", "high"])
 
-    rows = sharing.select("doc", "text", "places").mapInArrow(run, "anchor long, ctx binary, low long, high long")
-    return rows.repartition("anchor").groupBy("anchor", "ctx").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    rows = sharing.select("doc", "text", "places").mapInArrow(run, "anchor long, ctx binary, at int, low long, high long")
+    return rows.repartition("anchor").groupBy("anchor", "ctx", "at").agg(F.min("low").alias("low"), F.max("high").alias("high"))
 
 
-def _first_holders(contexts: DataFrame, length: int, shard_bytes: int) -> DataFrame:
+def _first_holders(contexts: DataFrame, length: int, gram: int, shard_bytes: int) -> DataFrame:
     """(anchor, ctx_hash, firsts): for each string of a context, the smallest id that has it; contexts that lose nothing are left out."""
 
+    def promising(rows: list[tuple]) -> list[tuple]:
+        """Of one anchor's contexts, those that can share a string: it reaches half of what is left over the gram to one side."""
+        half = (length - gram + 1) // 2
+        sides: dict[tuple, int] = {}
+        keys = []
+        for a, c, at, _, _ in rows:
+            left = (0, c[at - half : at]) if at >= half else None
+            right = (1, c[at + gram : at + gram + half]) if len(c) >= at + gram + half else None
+            keys.append((left, right))
+            for k in (left, right):
+                if k is not None:
+                    sides[k] = sides.get(k, 0) + 1
+        return [r for r, (left, right) in zip(rows, keys) if r[3] < r[4] or sides.get(left, 0) > 1 or sides.get(right, 0) > 1]
+
     def solve(rows: list[tuple]) -> pa.RecordBatch | None:
         x = Text([r[1] for r in rows])
-        low, high = np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
+        low, high = np.array([r[3] for r in rows]), np.array([r[4] for r in rows])
         at, number = repeated_classes(x, length)
         seg = np.searchsorted(x.ends, at)
         firsts = np.repeat(low, x.ends - x.starts + 1)
@@ -204,22 +218,24 @@ def _first_holders(contexts: DataFrame, length: int, shard_bytes: int) -> DataFr
         return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.list_(pa.int64()))], names=["anchor", "ctx_hash", "firsts"])
 
     def run(batches):
-        rows, size, key = [], 0, None
+        rows, size, key, group = [], 0, None, []
         for b in batches:
-            for a, c, lo, hi in zip(*(b.column(i).to_pylist() for i in range(4))):
-                if a != key and size >= shard_bytes:
-                    got = solve(rows)
-                    if got is not None:
-                        yield got
-                    rows, size = [], 0
-                key = a
-                rows.append((a, c, lo, hi))
-                size += len(c)
-        got = solve(rows) if rows else None
-        if got is not None:
+            for r in zip(*(b.column(i).to_pylist() for i in range(5))):
+                if r[0] != key:
+                    kept = promising(group) if len(group) > 1 or (group and group[0][3] < group[0][4]) else []
+                    rows += kept
+                    size += sum(len(k[1]) for k in kept)
+                    key, group = r[0], []
+                    if size >= shard_bytes:
+                        if (got := solve(rows)) is not None:
+                            yield got
+                        rows, size = [], 0
+                group.append(r)
+        rows += promising(group)
+        if rows and (got := solve(rows)) is not None:
             yield got
 
-    return contexts.sortWithinPartitions("anchor", "ctx").mapInArrow(run, "anchor long, ctx_hash long, firsts array<long>")
+    return contexts.sortWithinPartitions("anchor").mapInArrow(run, "anchor long, ctx_hash long, firsts array<long>")
 
 
 def _marks(sharing: DataFrame, firsts: DataFrame, length: int, gram: int) -> DataFrame:
@@ -270,10 +286,11 @@ def strip(raw: bytes, marks: list[tuple[int, int]], length: int) -> tuple[int, i
     if marks:
         start = np.array([m[0] for m in marks], np.int64)
         mask = np.array([m[1] for m in marks], np.int64)
-        for i in range(int(mask.max()).bit_length()):
-            at = np.unique(start[(mask >> i) & 1 == 1]) + i
-            edge[at] += 1
-            edge[at + length] -= 1
+        width = int(mask.max()).bit_length()
+        row, bit = np.nonzero((mask[:, None] >> np.arange(width)) & 1)
+        hit = np.bincount(start[row] + bit, minlength=len(edge)) > 0
+        edge += hit
+        edge[length:] -= hit[:-length]
     gone = np.cumsum(edge[:-1]) > 0
     runs = int((gone & ~np.concatenate([[False], gone[:-1]])).sum())
     return int(gone.sum()), runs, np.frombuffer(raw, np.uint8)[~gone].tobytes()
@@ -297,7 +314,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, cro
     release(spark)
     sharing = stored(singles.join(places, "doc"))
     release(spark)
-    firsts = stored(_first_holders(_contexts(sharing, length, gram), length, shard_bytes))
+    firsts = stored(_first_holders(_contexts(sharing, length, gram), length, gram, shard_bytes))
     release(spark)
     marks = _marks(sharing, firsts, length, gram).unionByName(_crowded_marks(sharing, length, gram))
     marks = stored(marks.groupBy(F.col("doc").alias("d"), F.col("tid").alias("t")).agg(F.collect_list(F.struct("start", "mask")).alias("marks")))

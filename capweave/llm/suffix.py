@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 
-SYMBOLS = 257
+SYMBOLS, NOTHING = 257, 0xFFFF
 
 
 class Text:
@@ -41,11 +41,16 @@ class Text:
         self.lms[1:] = self.small[1:] & ~self.small[:-1]
         self.sizes = np.bincount(self.t, minlength=SYMBOLS)
         self.begin = np.concatenate([[0], np.cumsum(self.sizes)])
+        # what stands before each position, if it is larger / smaller than its right neighbour
+        left = np.concatenate([[NOTHING], self.t[:-1]]).astype(np.uint16)
+        left_small = np.concatenate([[False], self.small[:-1]])
+        self.larger_before = np.where(left_small, np.uint16(NOTHING), left)
+        self.smaller_before = np.where(left_small, left, np.uint16(NOTHING))
 
 
 def induce(x: Text, seeds: np.ndarray) -> np.ndarray:
     """The suffix array that LMS positions in a given order induce."""
-    t, small, n = x.t, x.small, len(x.t)
+    t, n = x.t, len(x.t)
     sa = np.full(n, -1, np.int64)
     head = x.begin[:-1].copy()
     by = t[seeds]
@@ -53,10 +58,10 @@ def induce(x: Text, seeds: np.ndarray) -> np.ndarray:
     seeds, bounds = seeds[order], np.searchsorted(by[order], np.arange(SYMBOLS + 1))
 
     def larger(batch: np.ndarray) -> None:
-        j = batch[batch > 0] - 1
-        j = j[~small[j]]
+        c = x.larger_before[batch]
+        on = c != NOTHING
+        j, c = batch[on] - 1, c[on]
         if len(j):
-            c = t[j]
             o = np.argsort(c, kind="stable")
             counts = np.bincount(c, minlength=SYMBOLS)
             c, j = c[o], j[o]
@@ -73,10 +78,10 @@ def induce(x: Text, seeds: np.ndarray) -> np.ndarray:
     tail = x.begin[1:].copy()
 
     def smaller(batch: np.ndarray) -> None:
-        j = batch[batch > 0] - 1
-        j = j[small[j]]
+        c = x.smaller_before[batch]
+        on = c != NOTHING
+        j, c = batch[on] - 1, c[on]
         if len(j):
-            c = t[j]
             o = np.argsort(c, kind="stable")
             counts = np.bincount(c, minlength=SYMBOLS)
             c, j = c[o], j[o]
@@ -115,17 +120,28 @@ def ordered_lms(x: Text) -> np.ndarray:
         ok = x.t[a[live] + step] == x.t[b[live] + step]
         same[live[~ok]] = False
         live, step = live[ok], step + 1
-    names = np.zeros(len(at), np.int64)
-    names[k] = np.concatenate([[0], np.cumsum(~(same | ends))])
-    # what follows, recursively: pairs of names, doubling, not past the segment's separator
+    # a name is the first place of its group in the order; k holds the LMS positions in that order
+    n = len(at)
+    head = np.concatenate([[True], ~(same | ends)])
+    names = np.empty(n, np.int64)
+    names[k] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
+    # what follows, recursively: of groups not yet told apart, pairs of names, doubling, not past the segment's separator
     last = index[x.end_of[at]]
-    reach, here = 1, np.arange(len(at))
+    reach, order = 1, k.copy()
+    longest = int((last - np.arange(n)).max(initial=0))
     while True:
-        order = np.argsort(names, kind="stable")
-        if len(np.unique(names)) == len(names) or reach > int((last - here).max(initial=0)):
+        open_ = ~head | ~np.append(head[1:], True)
+        slots = np.flatnonzero(open_)
+        some = np.sort(order[slots])  # equal ones stay in the order of their segments
+        pair = names[some] * (n + 1) + names[np.minimum(some + reach, last[some])]
+        by = np.argsort(pair, kind="stable")
+        some, pair = some[by], pair[by]
+        order[slots] = some
+        if reach > longest or not len(slots):
             return at[order]
-        pair = names * (len(names) + 1) + names[np.minimum(here + reach, last)]
-        _, names = np.unique(pair, return_inverse=True)
+        first = np.concatenate([[True], pair[1:] != pair[:-1]])
+        head[slots] = first
+        names[some] = np.maximum.accumulate(np.where(first, slots, 0))
         reach *= 2
 
 
