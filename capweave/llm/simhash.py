@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from capweave.llm.common import components, stored, table
+from capweave.llm.common import components, small, stored, table
 
 WIDTH, DISTANCE, SEED = 3, 2, 42
 PIECE = 1 << 16
@@ -144,13 +144,74 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, distance: int = DISTANC
     return marked.join(of, "fp").select(F.col("_key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The documents less all but the first key of each component, and less repeats of a key; rows without a key stay."""
-    firsts = near_duplicates(docs, key=key, **options).where(F.col(key) == F.col("component_id")).select(F.col(key).alias("_first")).distinct()
-    joined = docs.join(firsts, docs[key] == firsts["_first"])
+def chunks(words: list[bytes], least: int = 6, spread: int = 12) -> list[bytes]:
+    """The words in runs that end where two words in a row say so (about every least + spread words), each joined by spaces."""
+    out, at = [], 0
+    for i in range(1, len(words)):
+        if i - at >= least and xxhash.xxh32_intdigest(words[i - 1] + b" " + words[i]) % spread == 0:
+            out.append(b" ".join(words[at : i + 1]))
+            at = i + 1
+    if at < len(words):
+        out.append(b" ".join(words[at:]))
+    return out
+
+
+def close_pairs(docs: DataFrame, similarity: float = 0.8, width: int = 5, far: int = 20, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(u, v): keys of documents whose distinct shingles of `width` words have that Jaccard similarity or more.
+
+    A fingerprint of 64 bits can't be searched at the distance that this similarity leaves (about 8 to 14 bits), so the text itself is
+    the wide fingerprint and its content-defined chunks are the blocks: close pairs share a chunk. A chunk's fingerprint
+    (that of a single shingle) is a join key; each document with the key meets the smallest key's document of its group, never all
+    the others, so the pairs are at most the chunks. Pairs whose SimHash differs in over `far` bits go, and the rest is verified
+    by the exact similarity. Documents that share chunks only with documents that a third one keeps apart can be missed: recall is
+    measured, not proven.
+    """
+    rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    kind = rows.schema[0].dataType
+
+    def block(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                texts = part.column(1).to_pylist()
+                fp = fingerprints(texts, WIDTH).view(np.int64)
+                keys = [list({xxhash.xxh64_intdigest(c, SEED) - (1 << 63) for c in chunks(t.encode("utf-8", "surrogatepass").lower().split())}) for t in texts]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp), pa.array(keys, pa.list_(pa.int64()))], names=["_key", "fp", "chunks"])
+
+    keyed = rows.mapInArrow(block, T.StructType([T.StructField("_key", kind), T.StructField("fp", T.LongType()), T.StructField("chunks", T.ArrayType(T.LongType()))]))
+    keyed = stored(keyed).select("_key", "fp", F.explode("chunks").alias("chunk"))
+    first = keyed.groupBy("chunk").agg(F.count("*").alias("n"), F.min(F.struct("_key", "fp")).alias("m")).where("n > 1").select("chunk", "m")
+    met = keyed.join(first, "chunk").where(F.col("_key") != F.col("m._key")).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("m.fp"))) <= far)
+    pairs = stored(met.select(F.col("_key").alias("u"), F.col("m._key").alias("v")).distinct())
+    ids = pairs.select(F.col("u").alias("_id")).union(pairs.select("v")).distinct()
+    some = rows.join(small(stored(ids)), F.col("_key") == F.col("_id"), "left_semi")
+
+    def shingle(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                sets = [np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(t, width)])).view(np.int64) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["_key", "s"])
+
+    sets = stored(some.mapInArrow(shingle, T.StructType([T.StructField("_key", kind), T.StructField("s", T.ArrayType(T.LongType()))])))
+    both = pairs.join(sets.select(F.col("_key").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("_key").alias("v"), F.col("s").alias("b")), "v")
+    common = F.size(F.array_intersect("a", "b"))
+    return both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v")
+
+
+def one_of_each(docs: DataFrame, similarity: float = 0.8, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The documents less all but the first key of each group of near copies, and less repeats of a key; rows without a key stay.
+
+    Groups: components of close fingerprints, then, among their first documents, components of pairs of that similarity.
+    """
+    firsts = near_duplicates(docs, key=key, text=text, **options).where(F.col(key) == F.col("component_id")).select(F.col(key).alias("_first")).distinct()
+    joined = docs.join(stored(firsts), F.col(key) == F.col("_first"))
     # the join has already brought a key's rows together, in order
-    kept = joined.withColumn("_n", F.row_number().over(Window.partitionBy("_first").orderBy("_first"))).where("_n = 1")
-    return kept.select(*docs.columns).unionAll(docs.where(F.col(key).isNull()))
+    kept = joined.withColumn("_n", F.row_number().over(Window.partitionBy("_first").orderBy("_first"))).where("_n = 1").select(*docs.columns)
+    kept = stored(kept)
+    found = components(close_pairs(kept, similarity, key=key, text=text)).where("node <> root").select(F.col("node").alias("_copy"))
+    kept = kept.join(small(stored(found)), F.col(key) == F.col("_copy"), "left_anti")
+    return kept.unionAll(docs.where(F.col(key).isNull()))
 
 
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
