@@ -164,9 +164,10 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = K, list_size: in
     n = classes.count()
     lists = int(min(max_lists, max(1, -(-n // list_size))))
     size = min(sample, max(lists * 16, 1024))
-    # a seeded hash order of distinct vectors; the smallest of them are the sample
-    top = classes.select("v", F.xxhash64(F.lit(5), "v").alias("h")).orderBy("h").limit(size).select("v")
-    x = np.array([r["v"] for r in top.toLocalIterator()])
+    # distinct vectors with a small seeded hash are the sample: about `size` of them, or all
+    part = F.shiftrightunsigned(F.xxhash64(F.lit(5), "v"), 32)
+    few = classes.where(part < int(min(1.0, size / n) * (1 << 32))).select("v", part.alias("h"))
+    x = np.array([v for _, v in sorted((r["h"], r["v"]) for r in few.toLocalIterator())] or [classes.first()["v"]])
     centroids = fit_centroids(x, lists)
     shared = spark.sparkContext.broadcast(centroids)
 
