@@ -7,7 +7,6 @@ Its checksum shows damage; it is no proof of who wrote it.
 from __future__ import annotations
 
 import base64
-import hashlib
 import json
 from dataclasses import dataclass, field as data_field
 
