@@ -16,7 +16,6 @@ empty lexicon and score 0 for all; repeated rows: repeated results; other column
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
