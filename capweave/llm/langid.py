@@ -150,7 +150,7 @@ class Model:
         self.log_probs([w for d in docs for w in d])
         names, scores = [], []
         for d in docs:
-            if not d or not self.languages:
+            if not self.languages or not any(c.isalpha() for w in d for c in w):
                 names.append("und")
                 scores.append(0.0)
                 continue
