@@ -7,14 +7,13 @@ input, matches stay inside a document, and overlaps count.
 2. Every string of `length` bytes holds an anchor: the gram of GRAM bytes with the least hash in it (winnowing). Equal
    strings hold equal anchors at equal places, so only strings round anchors of two documents can repeat: nothing
    is lost, and text that nothing shares is never sorted.
-3. The anchors' contexts (all strings that the anchor may stand for) are dealt to shards by anchor, equal contexts as one
-   with their smallest id. Each shard of bounded bytes gets a suffix array by induced sorting and its permuted common
-   prefixes; suffixes with `length` bytes in common form a class, whose smallest id is the first holder of that string.
+3. The anchors' contexts (all strings that the anchor may stand for) are dealt to shards by anchor; in a shard, equal contexts
+   are one. Each shard of bounded bytes gets a suffix array by induced sorting and its permuted common prefixes; suffixes
+   with `length` bytes in common form a class, whose smallest id is the first holder of that string.
 4. What is not the first holder's is marked, and each document drops the bytes under its marks.
 
-Scale: a third of the documents may share a passage. Equal contexts are combined before they are dealt; anchors of more
-than `crowd` documents are told apart by the strings themselves, with plain partial aggregation, so neither a shard nor
-a run of rows in memory grows with a group. Text moves once to meet its anchors, and only sharing documents' text again.
+Scale: a third of the documents may share a passage. Anchors of more than `crowd` occurrences are told apart by the strings
+themselves, with plain partial aggregation, so what a shard holds of an anchor is at most `crowd` contexts. Text moves once to meet its anchors, and only sharing documents' text again.
 
 Defined results: null text: an empty one; null id: kept whole and never a first holder; rows of one id: don't take from
 each other; repeated rows: repeated results; an empty table: no rows; other columns stay out of the result. Ids are integers.
@@ -159,104 +158,133 @@ def _shared_anchors(texts: DataFrame, length: int, gram: int, crowd: int) -> Dat
 
 
 def _contexts(sharing: DataFrame, length: int, gram: int) -> DataFrame:
-    """(anchor, ctx, at, low, high): contexts, where the gram is in them, with the smallest and largest id that show them, combined within each task's batches."""
+    """(anchor, ctx, at, doc, tid, start): the context of each shared anchor and where the gram is in it, dealt by anchor, in its order."""
 
     def run(batches):
         for b in batches:
-            for i in range(0, b.num_rows, 512):
-                part, seen = b.slice(i, 512), {}
-                for d, t, places in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist()):
+            for i in range(0, b.num_rows, 256):
+                part, out = b.slice(i, 256), []
+                for d, t, places, tid in zip(*(part.column(j).to_pylist() for j in range(4))):
                     raw = t.encode("utf-8", "surrogatepass")
                     for p in places:
                         if p + gram <= len(raw):
                             start, c = context(raw, p, length, gram)
-                            key = (raw[p : p + gram], c, p - start)
-                            old = seen.get(key)
-                            seen[key] = (d, d) if old is None else (min(d, old[0]), max(d, old[1]))
-                if seen:
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([xxhash.xxh64_intdigest(k[0]) - (1 << 63) for k in seen], pa.int64()), pa.array([k[1] for k in seen], pa.binary()), pa.array([k[2] for k in seen], pa.int32()),
-                        pa.array([v[0] for v in seen.values()], pa.int64()), pa.array([v[1] for v in seen.values()], pa.int64())], names=["anchor", "ctx", "at", "low", "high"])
-
-    rows = sharing.select("doc", "text", "places").mapInArrow(run, "anchor long, ctx binary, at int, low long, high long")
-    return rows.repartition("anchor").groupBy("anchor", "ctx", "at").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-
-
-def _first_holders(contexts: DataFrame, length: int, gram: int, shard_bytes: int) -> DataFrame:
-    """(anchor, ctx_hash, firsts): for each string of a context, the smallest id that has it; contexts that lose nothing are left out."""
-
-    def promising(rows: list[tuple]) -> list[tuple]:
-        """Of one anchor's contexts, those that can share a string: it reaches half of what is left over the gram to one side."""
-        half = (length - gram + 1) // 2
-        sides: dict[tuple, int] = {}
-        keys = []
-        for a, c, at, _, _ in rows:
-            left = (0, c[at - half : at]) if at >= half else None
-            right = (1, c[at + gram : at + gram + half]) if len(c) >= at + gram + half else None
-            keys.append((left, right))
-            for k in (left, right):
-                if k is not None:
-                    sides[k] = sides.get(k, 0) + 1
-        return [r for r, (left, right) in zip(rows, keys) if r[3] < r[4] or sides.get(left, 0) > 1 or sides.get(right, 0) > 1]
-
-    def solve(rows: list[tuple]) -> pa.RecordBatch | None:
-        x = Text([r[1] for r in rows])
-        low, high = np.array([r[3] for r in rows]), np.array([r[4] for r in rows])
-        at, number = repeated_classes(x, length)
-        seg = np.searchsorted(x.ends, at)
+                            out.append((xxhash.xxh64_intdigest(raw[p : p + gram]) - (1 << 63), c, p - start, d, tid, start))
+                if out:
+                    kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names=["anchor", "ctx", "at", "doc", "tid", "start"])
+
+    rows = sharing.select("doc", "text", "places", "tid").mapInArrow(run, "anchor long, ctx binary, at int, doc long, tid long, start long")
+    return rows.repartition("anchor").sortWithinPartitions("anchor")
+
+
+class Shard:
+    """Contexts of whole anchors, solved together: which of their strings a smaller id has."""
+
+    def __init__(self, length: int, gram: int) -> None:
+        self.length, self.gram, self.half = length, gram, (length - gram + 1) // 2
+        self.clear()
+
+    def clear(self) -> None:
+        self.contexts: list[bytes] = []
+        self.bytes = 0
+        self.at: list[int] = []  # of each occurrence: its context
+        self.doc: list[int] = []
+        self.tid: list[int] = []
+        self.start: list[int] = []
+
+    def add(self, ctx: list[bytes], at: list[int], doc: list[int], tid: list[int], start: list[int]) -> None:
+        """One anchor's occurrences, less contexts that can't share a string: it reaches half of what is left over the gram to one side."""
+        low = min(doc)
+        if low == max(doc):
+            return
+        number: dict[bytes, int] = {}
+        of = [number.setdefault(c, len(number)) for c in ctx]
+        kept = set(range(len(number)))
+        if len(number) > 1:
+            sides: dict[tuple, int] = {}
+            own: dict[int, set] = {}
+            docs: dict[int, int] = {}
+            many = set()
+            for n, c, a, d in zip(of, ctx, at, doc):
+                if docs.setdefault(n, d) != d:
+                    many.add(n)
+                if n not in own:
+                    left = (0, c[a - self.half : a]) if a >= self.half else None
+                    right = (1, c[a + self.gram : a + self.gram + self.half]) if len(c) >= a + self.gram + self.half else None
+                    own[n] = (left, right)
+                    for k in (left, right):
+                        if k is not None:
+                            sides[k] = sides.get(k, 0) + 1
+            kept = {n for n, (left, right) in own.items() if n in many or sides.get(left, 0) > 1 or sides.get(right, 0) > 1}
+            if not kept:
+                return
+        place = {}
+        for c, n in number.items():
+            if n in kept:
+                place[n] = len(self.contexts)
+                self.contexts.append(c)
+                self.bytes += len(c)
+        for n, d, t, s in zip(of, doc, tid, start):
+            if n in kept:
+                self.at.append(place[n])
+                self.doc.append(d)
+                self.tid.append(t)
+                self.start.append(s)
+
+    def solve(self) -> pa.RecordBatch | None:
+        """(doc, tid, start, mask) of the occurrences that lose something."""
+        if not self.contexts:
+            return None
+        x, of, doc = Text(self.contexts), np.array(self.at), np.array(self.doc, np.int64)
+        low = np.full(len(self.contexts), np.iinfo(np.int64).max)
+        np.minimum.at(low, of, doc)
+        at, number = repeated_classes(x, self.length)
         firsts = np.repeat(low, x.ends - x.starts + 1)
         if len(at):
             cuts = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
-            firsts[at] = np.repeat(np.minimum.reduceat(low[seg], cuts), np.diff(np.append(cuts, len(at))))
-        out = []
-        for i, r in enumerate(rows):
-            f = firsts[x.starts[i] : x.ends[i] - length + 1]
-            if len(f) and f.min() < high[i]:
-                out.append((r[0], xxhash.xxh64_intdigest(r[1]) - (1 << 63), f))
-        if not out:
+            least = np.minimum.reduceat(low[np.searchsorted(x.ends, at)], cuts)
+            firsts[at] = np.repeat(least, np.diff(np.append(cuts, len(at))))
+        bit = np.arange(self.length - self.gram + 1)
+        where = x.starts[of][:, None] + bit
+        loses = (where + self.length <= x.ends[of][:, None]) & (firsts[np.minimum(where, len(firsts) - 1)] < doc[:, None])
+        mask = (loses.astype(np.int64) << bit).sum(axis=1)
+        on = np.flatnonzero(mask)
+        if not len(on):
             return None
-        return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.list_(pa.int64()))], names=["anchor", "ctx_hash", "firsts"])
-
-    def run(batches):
-        rows, size, key, group = [], 0, None, []
-        for b in batches:
-            for r in zip(*(b.column(i).to_pylist() for i in range(5))):
-                if r[0] != key:
-                    kept = promising(group) if len(group) > 1 or (group and group[0][3] < group[0][4]) else []
-                    rows += kept
-                    size += sum(len(k[1]) for k in kept)
-                    key, group = r[0], []
-                    if size >= shard_bytes:
-                        if (got := solve(rows)) is not None:
-                            yield got
-                        rows, size = [], 0
-                group.append(r)
-        rows += promising(group)
-        if rows and (got := solve(rows)) is not None:
-            yield got
+        return pa.RecordBatch.from_arrays([pa.array(doc[on]), pa.array(np.array(self.tid, np.int64)[on]), pa.array(np.array(self.start, np.int64)[on]), pa.array(mask[on])], names=["doc", "tid", "start", "mask"])
 
-    return contexts.sortWithinPartitions("anchor").mapInArrow(run, "anchor long, ctx_hash long, firsts array<long>")
 
-
-def _marks(sharing: DataFrame, firsts: DataFrame, length: int, gram: int) -> DataFrame:
+def _marks(contexts: DataFrame, length: int, gram: int, shard_bytes: int) -> DataFrame:
     """(doc, tid, start, mask): bit i of mask marks the string at start + i as held by a smaller id."""
 
     def run(batches):
+        shard, key, group = Shard(length, gram), None, None
         for b in batches:
-            for i in range(0, b.num_rows, 512):
-                part, out = b.slice(i, 512), []
-                for d, t, places, tid in zip(*(part.column(j).to_pylist() for j in range(4))):
-                    raw = t.encode("utf-8", "surrogatepass")
-                    for p in places:
-                        if p + gram <= len(raw):
-                            start, c = context(raw, p, length, gram)
-                            out.append((d, tid, start, xxhash.xxh64_intdigest(raw[p : p + gram]) - (1 << 63), xxhash.xxh64_intdigest(c) - (1 << 63)))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=["doc", "tid", "start", "anchor", "ctx_hash"])
+            a = b.column(0).to_numpy()
+            if not len(a):
+                continue
+            columns = [b.column(i).to_pylist() for i in range(1, 6)]
+            cuts = [0, *(np.flatnonzero(a[1:] != a[:-1]) + 1).tolist(), len(a)]
+            for x, y in zip(cuts, cuts[1:]):
+                run_ = [c[x:y] for c in columns]
+                if group is not None and a[x] == key:
+                    for g, r in zip(group, run_):
+                        g += r
+                    continue
+                if group is not None:
+                    shard.add(*group)
+                    if shard.bytes >= shard_bytes:
+                        if (got := shard.solve()) is not None:
+                            yield got
+                        shard.clear()
+                key, group = a[x], run_
+        if group is not None:
+            shard.add(*group)
+        if (got := shard.solve()) is not None:
+            yield got
 
-    seen = sharing.select("doc", "text", "places", "tid").mapInArrow(run, "doc long, tid long, start long, anchor long, ctx_hash long")
-    bits = F.aggregate(F.transform("firsts", lambda f, i: F.when(f < F.col("doc"), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
-    return seen.join(firsts, ["anchor", "ctx_hash"]).select("doc", "tid", "start", bits.alias("mask")).where("mask <> 0")
+    return contexts.mapInArrow(run, "doc long, tid long, start long, mask long")
 
 
 def _crowded_marks(sharing: DataFrame, length: int, gram: int) -> DataFrame:
@@ -314,9 +342,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, cro
     release(spark)
     sharing = stored(singles.join(places, "doc"))
     release(spark)
-    firsts = stored(_first_holders(_contexts(sharing, length, gram), length, gram, shard_bytes))
-    release(spark)
-    marks = _marks(sharing, firsts, length, gram).unionByName(_crowded_marks(sharing, length, gram))
+    marks = _marks(_contexts(sharing, length, gram), length, gram, shard_bytes).unionByName(_crowded_marks(sharing, length, gram))
     marks = stored(marks.groupBy(F.col("doc").alias("d"), F.col("tid").alias("t")).agg(F.collect_list(F.struct("start", "mask")).alias("marks")))
     release(spark)
     marked = sharing.join(marks, (F.col("doc") == F.col("d")) & (F.col("tid") == F.col("t"))).select("doc", "tid", "text", "marks")
