@@ -144,59 +144,103 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, distance: int = DISTANC
     return marked.join(of, "fp").select(F.col("_key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def chunks(words: list[bytes], least: int = 6, spread: int = 12) -> list[bytes]:
-    """The words in runs that end where two words in a row say so (about every least + spread words), each joined by spaces."""
-    out, at = [], 0
-    for i in range(1, len(words)):
-        if i - at >= least and xxhash.xxh32_intdigest(words[i - 1] + b" " + words[i]) % spread == 0:
-            out.append(b" ".join(words[at : i + 1]))
-            at = i + 1
-    if at < len(words):
-        out.append(b" ".join(words[at:]))
-    return out
-
-
-def close_pairs(docs: DataFrame, similarity: float = 0.8, width: int = 5, far: int = 20, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(u, v): keys of documents whose distinct shingles of `width` words have that Jaccard similarity or more.
-
-    A fingerprint of 64 bits can't be searched at the distance that this similarity leaves (about 8 to 14 bits), so the text itself is
-    the wide fingerprint and its content-defined chunks are the blocks: close pairs share a chunk. A chunk's fingerprint
-    (that of a single shingle) is a join key; each document with the key meets the smallest key's document of its group, never all
-    the others, so the pairs are at most the chunks. Pairs whose SimHash differs in over `far` bits go, and the rest is verified
-    by the exact similarity. Documents that share chunks only with documents that a third one keeps apart can be missed: recall is
-    measured, not proven.
+def least_common(n: int, similarity: float) -> int:
+    """The fewest of n distinct shingles that a text of that Jaccard similarity must share."""
+    return int(np.ceil(similarity * n - 1e-9))
+
+
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, width)])).view(np.int64)
+
+
+def common_shingles(rows: DataFrame, width: int, docs: int = 8192, most: int = 200_000) -> np.ndarray:
+    """Shingles that two of about `docs` sampled documents hold, rarest first: they only set an order, so any sample gives the same pairs."""
+    n = rows.count()
+    few = rows.where(F.shiftrightunsigned(F.xxhash64(F.lit(6), "_key"), 32) < int(min(1.0, docs / max(1, n)) * (1 << 32)))
+
+    def run(batches):
+        for b in batches:
+            for t in b.column(1).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t, width))], names=["k"])
+
+    held = few.mapInArrow(run, "k long").groupBy("k").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "k").limit(most)
+    return np.array([r["k"] for r in held.collect()][::-1], np.int64)
+
+
+def close_pairs(docs: DataFrame, similarity: float = 0.8, width: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(u, v): links that give the components of "distinct shingles of `width` words have that Jaccard similarity or more".
+
+    Search: a prefix filter, which misses no pair. Shingles have one total order, rare ones first (by a sample; the order decides the
+    work, not the result). Texts that share s of their n shingles share one of their first n - s + 1, so those, for the least s
+    that the similarity allows, are the join keys of a text of any length. Pairs whose sizes and places can't reach the
+    similarity go (a shared key's places i, j bound what is left to share), and the rest is verified by the exact similarity.
+
+    Work: equal shingle sets are one class. Then each document meets the one next to it in size under each key, so a crowd of copies
+    falls together in linear size; what is still apart under a key meets in full.
     """
-    rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     kind = rows.schema[0].dataType
+    shared_order = docs.sparkSession.sparkContext.broadcast(common_shingles(rows, width))
 
     def block(batches):
+        common = shared_order.value
+        at = np.argsort(common)
+        held = common[at]
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
-                texts = part.column(1).to_pylist()
-                fp = fingerprints(texts, WIDTH).view(np.int64)
-                keys = [list({xxhash.xxh64_intdigest(c, SEED) - (1 << 63) for c in chunks(t.encode("utf-8", "surrogatepass").lower().split())}) for t in texts]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp), pa.array(keys, pa.list_(pa.int64()))], names=["_key", "fp", "chunks"])
-
-    keyed = rows.mapInArrow(block, T.StructType([T.StructField("_key", kind), T.StructField("fp", T.LongType()), T.StructField("chunks", T.ArrayType(T.LongType()))]))
-    keyed = stored(keyed).select("_key", "fp", F.explode("chunks").alias("chunk"))
-    first = keyed.groupBy("chunk").agg(F.count("*").alias("n"), F.min(F.struct("_key", "fp")).alias("m")).where("n > 1").select("chunk", "m")
-    met = keyed.join(first, "chunk").where(F.col("_key") != F.col("m._key")).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("m.fp"))) <= far)
-    pairs = stored(met.select(F.col("_key").alias("u"), F.col("m._key").alias("v")).distinct())
-    ids = pairs.select(F.col("u").alias("_id")).union(pairs.select("v")).distinct()
-    some = rows.join(small(stored(ids)), F.col("_key") == F.col("_id"), "left_semi")
+                sigs, sizes, keys = [], [], []
+                for t in part.column(1).to_pylist():
+                    s = shingle_set(t, width)
+                    rank = np.zeros(len(s), np.int64)
+                    if len(held):
+                        place = np.minimum(np.searchsorted(held, s), len(held) - 1)
+                        rank = np.where(held[place] == s, at[place] + 1, 0)
+                    sigs.append(xxhash.xxh3_128_digest(s.tobytes()))
+                    sizes.append(len(s))
+                    keys.append(s[np.argsort(rank, kind="stable")][: len(s) - least_common(len(s), similarity) + 1])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["_key", "sig", "n", "keys"])
+
+    keyed = stored(rows.mapInArrow(block, T.StructType([T.StructField("_key", kind), T.StructField("sig", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("keys", T.ArrayType(T.LongType()))])))
+    classes = keyed.groupBy("sig").agg(F.min("_key").alias("v"), F.count("*").alias("c")).where("c > 1").select("sig", "v")
+    same = stored(keyed.select("sig", F.col("_key").alias("u")).join(classes, "sig").where("u <> v").select("u", "v").distinct())
+    once = keyed.join(small(same.select(F.col("u").alias("_copy")).distinct()), F.col("_key") == F.col("_copy"), "left_anti")
+
+    places = once.select("_key", "n", F.posexplode("keys").alias("pos", "k"))
+    order = Window.partitionBy("k").orderBy("n", "_key")
+    places = places.withColumn("prev", F.lag(F.struct("_key", "n", "pos")).over(order)).withColumn("next", F.lead("_key").over(order))
+    places = stored(places.where(F.col("prev").isNotNull() | F.col("next").isNotNull()).drop("next"))
+
+    def possible(n, i, m, j):
+        """The first key that a pair shares stands at i and j: the shingles before it, and the difference of those after it, are not shared."""
+        return (1 + similarity) * (i + j + F.abs((n - i) - (m - j))) <= (1 - similarity) * (n + m) + 1e-6
 
     def shingle(batches):
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
-                sets = [np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(t, width)])).view(np.int64) for t in part.column(1).to_pylist()]
+                sets = [shingle_set(t, width) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["_key", "s"])
 
-    sets = stored(some.mapInArrow(shingle, T.StructType([T.StructField("_key", kind), T.StructField("s", T.ArrayType(T.LongType()))])))
-    both = pairs.join(sets.select(F.col("_key").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("_key").alias("v"), F.col("s").alias("b")), "v")
-    common = F.size(F.array_intersect("a", "b"))
-    return both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v")
+    def verified(pairs: DataFrame) -> DataFrame:
+        ids = pairs.select(F.col("u").alias("_id")).union(pairs.select("v")).distinct()
+        some = rows.join(small(stored(ids)), F.col("_key") == F.col("_id"), "left_semi")
+        sets = stored(some.mapInArrow(shingle, T.StructType([T.StructField("_key", kind), T.StructField("s", T.ArrayType(T.LongType()))])))
+        both = pairs.join(sets.select(F.col("_key").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("_key").alias("v"), F.col("s").alias("b")), "v")
+        common = F.size(F.array_intersect("a", "b"))
+        return stored(both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v"))
+
+    met = places.where(F.col("prev").isNotNull() & (F.col("_key") != F.col("prev._key"))).where(possible(F.col("n"), F.col("pos"), F.col("prev.n"), F.col("prev.pos")))
+    met = stored(met.select(F.greatest("_key", "prev._key").alias("u"), F.least("_key", "prev._key").alias("v")).distinct())
+    linked = verified(met)
+    roots = stored(components(linked)).select("node", "root")
+    apart = places.drop("prev").join(small(roots), F.col("_key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "_key")).drop("node")
+    mixed = apart.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("k")
+    apart = stored(apart.join(mixed, "k", "left_semi"))
+    x, y = (apart.select("k", *[F.col(c).alias(c + side) for c in ("_key", "n", "pos", "root")]) for side in "xy")
+    rest = x.join(y, "k").where((F.col("_keyx") > F.col("_keyy")) & (F.col("rootx") != F.col("rooty"))).where(possible(F.col("nx"), F.col("posx"), F.col("ny"), F.col("posy")))
+    rest = rest.select(F.col("_keyx").alias("u"), F.col("_keyy").alias("v")).distinct().join(met, ["u", "v"], "left_anti")
+    return same.unionAll(linked).unionAll(verified(stored(rest)))
 
 
 def one_of_each(docs: DataFrame, similarity: float = 0.8, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
