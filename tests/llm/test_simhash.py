@@ -108,3 +108,17 @@ def test_copies_that_share_all_with_a_longer_page(make, prose):
     rows = [(0, f"{article} {fresh(160)}")] + [(i, f"{article} {fresh(9)}") for i in range(1, 25)]
     got, want = kept_and_wanted(make, rows)
     assert got == want == [0, 1]
+
+
+def test_short_near_copies(make):
+    """Texts of a few words and the same plus one word or less one; chains; passages that repeat."""
+    rng = random.Random(4)
+    fresh = lambda n: " ".join(str(rng.getrandbits(40)) for _ in range(n))
+    rows = []
+    for n in [*range(1, 40), *range(9, 16), 80, 200, 600]:
+        t = fresh(n)
+        rows += [(len(rows), t), (len(rows) + 1, f"{t} {fresh(1)}"), (len(rows) + 2, t.split(" ", 1)[-1])]
+    line, tail = fresh(60), fresh(60)
+    rows += [(len(rows), f"{line} {line} {tail}"), (len(rows) + 1, f"{' '.join([line] * 40)} {tail}"), (len(rows) + 2, None), (len(rows) + 3, "")]
+    got, want = kept_and_wanted(make, rows)
+    assert got == want and len(want) < len(rows) - 80
