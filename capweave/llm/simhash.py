@@ -243,18 +243,15 @@ def close_pairs(docs: DataFrame, similarity: float = 0.8, width: int = 5, key: s
     return same.unionAll(linked).unionAll(verified(stored(rest)))
 
 
-def one_of_each(docs: DataFrame, similarity: float = 0.8, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def one_of_each(docs: DataFrame, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents less all but the first key of each group of near copies, and less repeats of a key; rows without a key stay.
 
-    Groups: components of close fingerprints, then, among their first documents, components of pairs of that similarity.
+    Groups: components of pairs of that similarity in words of five; texts without a word are copies. Pairs within op3's two bits are
+    among them if they have that similarity, and stay apart if they don't.
     """
-    firsts = near_duplicates(docs, key=key, text=text, **options).where(F.col(key) == F.col("component_id")).select(F.col(key).alias("_first")).distinct()
-    joined = docs.join(stored(firsts), F.col(key) == F.col("_first"))
-    # the join has already brought a key's rows together, in order
-    kept = joined.withColumn("_n", F.row_number().over(Window.partitionBy("_first").orderBy("_first"))).where("_n = 1").select(*docs.columns)
-    kept = stored(kept)
-    found = components(close_pairs(kept, similarity, key=key, text=text)).where("node <> root").select(F.col("node").alias("_copy"))
-    kept = kept.join(small(stored(found)), F.col(key) == F.col("_copy"), "left_anti")
+    found = components(close_pairs(docs, similarity, key=key, text=text)).where("node <> root").select(F.col("node").alias("_copy"))
+    kept = docs.where(F.col(key).isNotNull()).join(small(stored(found)), F.col(key) == F.col("_copy"), "left_anti")
+    kept = kept.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(key))).where("_n = 1").select(*docs.columns)
     return kept.unionAll(docs.where(F.col(key).isNull()))
 
 

@@ -122,3 +122,14 @@ def test_short_near_copies(make):
     rows += [(len(rows), f"{line} {line} {tail}"), (len(rows) + 1, f"{' '.join([line] * 40)} {tail}"), (len(rows) + 2, None), (len(rows) + 3, "")]
     got, want = kept_and_wanted(make, rows)
     assert got == want and len(want) < len(rows) - 80
+
+
+def test_equal_fingerprints_of_different_texts_stay(make):
+    rng = random.Random(5)
+    fresh = lambda n: " ".join(str(rng.getrandbits(40)) for _ in range(n))
+    line = fresh(9)
+    rows = [(i, f"{' '.join([line] * 100)} {fresh(300)}") for i in range(3)] + [(3 + i, f"{'- ' * 400}{fresh(300)}") for i in range(3)]
+    fps = [fingerprint(t) for _, t in rows]
+    assert any((a ^ b).bit_count() <= 2 for a, b in itertools.combinations(fps, 2))
+    got, want = kept_and_wanted(make, rows)
+    assert got == want == list(range(6))
