@@ -4,7 +4,8 @@ Centroids come from a balanced hierarchical k-means over a bounded sample (`samp
 A vector joins the posting list of its nearest centroid and, as a boundary vector, of each further centroid that is
 within `closure` times that distance and not hidden behind one already chosen. Centroids are searched by a navigable
 graph in memory (beam search over a neighbour graph). A query searches the lists whose centroid is within `prune` times
-its nearest centroid's distance (at least so many that they hold `least` vectors), and compares itself there with every
+its nearest centroid's distance (at least so many that they hold `least` vectors; the beam is no limit: where it ends inside
+the ratio, all centroids are compared), and compares itself there with every
 vector in double precision.
 
 Scale: equal vectors are one class, of which only the k + 1 smallest ids can ever be answers (kept by a group limit before
@@ -143,6 +144,29 @@ def chosen_lists(graph: Graph, v: np.ndarray, closure: float, copies: int):
     return np.concatenate(rows), np.concatenate(lists)
 
 
+def probed(graph: Graph, q: np.ndarray, counts: np.ndarray, beam: int, prune: float, least: int):
+    """The lists that each row searches, as (row, list) arrays: all within `prune` times the nearest centroid's distance, and
+    at least so many that they hold `least` vectors. Where that may go on past the beam, every centroid is compared."""
+
+    def inside(ids: np.ndarray, d: np.ndarray) -> np.ndarray:
+        before = np.cumsum(np.where(ids >= 0, counts[np.maximum(ids, 0)], 0), axis=1)
+        before = np.c_[np.zeros(len(ids)), before[:, :-1]]
+        return (ids >= 0) & ((d <= prune**2 * d[:, :1]) | (before < least))
+
+    ids, d = graph.search(q, beam)
+    keep = inside(ids, d)
+    on = (keep | (ids < 0)).all(1) & (ids.shape[1] < len(graph.c))
+    r, c = np.nonzero(keep & ~on[:, None])
+    rows, lists = [r], [ids[r, c]]
+    if on.any():
+        d = distances(q[on], graph.c)
+        ids = np.argsort(d, axis=1, kind="stable")
+        r, c = np.nonzero(inside(ids, np.take_along_axis(d, ids, 1)))
+        rows.append(np.flatnonzero(on)[r])
+        lists.append(ids[r, c])
+    return np.concatenate(rows), np.concatenate(lists)
+
+
 def matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), -1)
@@ -190,12 +214,9 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = K, list_size: in
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
-                ids, d = graph.search(matrix(part.column(0)), beam)
-                before = np.cumsum(np.where(ids >= 0, counts[np.maximum(ids, 0)], 0), axis=1)
-                before = np.c_[np.zeros(len(ids)), before[:, :-1]]
-                keep = (ids >= 0) & ((d <= prune**2 * d[:, :1]) | (before < least))
-                r, c = np.nonzero(keep)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[r, c], pa.int64()), part.column(0).take(pa.array(r))], names=["list", "q"])
+                row, at = probed(graph, matrix(part.column(0)), counts, beam, prune, least)
+                for j in range(0, len(row), 8192):
+                    yield pa.RecordBatch.from_arrays([pa.array(at[j : j + 8192], pa.int64()), part.column(0).take(pa.array(row[j : j + 8192]))], names=["list", "q"])
 
     probes = stored(asked.select("v").distinct().mapInArrow(probe, "list long, q array<double>"))
     sizes = postings.groupBy("list").agg(F.ceil(F.count("*") / block).alias("nv")).join(probes.groupBy("list").agg(F.ceil(F.count("*") / block).alias("nq")), "list")

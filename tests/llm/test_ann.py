@@ -59,3 +59,12 @@ def test_graph_finds_the_nearest_centroids():
     assert np.mean(ids[:, 0] == true[:, 0]) > 0.95 and (np.diff(d, axis=1) >= 0).all()
     assert np.mean([len(set(a[:10]) & set(b[:10])) for a, b in zip(ids, true)]) > 9
     assert len(ann.fit_centroids(rng.normal(size=(1000, 4)), 50)) >= 40
+
+
+def test_the_beam_is_no_cap_on_the_lists(spark):
+    """Vectors without structure: nearly every centroid is inside the ratio, many times the beam."""
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=8).round(3).tolist()) for i in range(1500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = lambda beam: sorted((r["query_id"], r["rank"], r["vec_id"]) for r in ann.neighbours(df, df.where("vec_id % 100 = 0"), list_size=40, beam=beam, least=1).collect())
+    assert found(4) == found(1000)
