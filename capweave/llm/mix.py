@@ -56,21 +56,25 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epo
     return weighed.crossJoin(F.broadcast(level)).select("_source", "source_size", F.least("_cap", F.coalesce("_level", F.lit(0.0)) * F.col("_w")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3, seed: int = 7, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """One row per document: key, size, source_size, target, taken, copies, first_finish (virtual time)."""
-    sized = stored(docs.select(F.col(key).alias("_key"), F.col(source).alias("_source"), word_count(F.col(text)).alias("size")))
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3, seed: int = 7, key: str = "doc_id", text: str = "text", source: str = "source", row: str | None = None) -> DataFrame:
+    """One row per document: key, size, source_size, target, taken, copies, first_finish (virtual time).
+
+    row: a column that tells rows without a key apart (null for the others); it comes last in the result.
+    """
+    own = F.col(row) if row else F.lit(None).cast("string")
+    sized = stored(docs.select(F.col(key).alias("_key"), F.col(source).alias("_source"), word_count(F.col(text)).alias("size"), own.alias("_row")))
     targets = source_targets(sized, weights, max_epochs)
     # hash order of the documents of a source, cut in slices by its leading bits
-    keyed = sized.withColumn("_h", F.xxhash64(F.lit(seed), F.col("_key"), F.col("size"))).withColumn("_slice", F.pmod(F.shiftright("_h", 40), F.lit(SLICES)))
+    keyed = sized.withColumn("_h", F.xxhash64(F.lit(seed), F.col("_key"), F.col("size"), F.col("_row"))).withColumn("_slice", F.pmod(F.shiftright("_h", 40), F.lit(SLICES)))
     per_slice = keyed.groupBy("_source", "_slice").agg(F.sum("size").alias("_n"))
     before = Window.partitionBy("_source").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = per_slice.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    within = Window.partitionBy("_source", "_slice").orderBy("_h", F.col("_key").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("_source", "_slice").orderBy("_h", F.col("_key").asc_nulls_last(), "size", "_row").rowsBetween(Window.unboundedPreceding, 0)
     starts = starts.join(targets.withColumnRenamed("_source", "_s"), F.col("_source").eqNullSafe(F.col("_s"))).drop("_s")
     starts = starts.select(F.col("_source").alias("_s"), F.col("_slice").alias("_sl"), "_start", "source_size", "target")
     placed = keyed.withColumn("_in", F.sum("size").over(within))
     placed = placed.join(starts, (F.col("_source").eqNullSafe(F.col("_s"))) & (F.col("_slice") == F.col("_sl"))).drop("_s", "_sl")
-    placed = stored(placed.select("_key", "_source", "_h", "size", "source_size", "target", (F.col("_start") + F.col("_in")).alias("_end")))
+    placed = stored(placed.select("_key", "_row", "_source", "_h", "size", "source_size", "target", (F.col("_start") + F.col("_in")).alias("_end")))
 
     # a copy joins the queue if it starts before its source has its target: at most one starts inside and ends past it
     epochs = F.array(*[F.lit(e) for e in range(max_epochs)])
@@ -85,7 +89,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3
     upto = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
     ranges = ranges.withColumn("_sum", F.sum("_n").over(upto)).crossJoin(F.broadcast(budget))
     crossing = ranges.where("_sum > _budget").agg(F.min("_range").alias("_cross"), F.min(F.struct("_range", (F.col("_sum") - F.col("_n")).alias("b"), "_budget")).alias("_at"))
-    order = ["_vf", F.col("_source").asc_nulls_last(), "_h", F.col("_key").asc_nulls_last(), "_e"]
+    order = ["_vf", F.col("_source").asc_nulls_last(), "_h", F.col("_key").asc_nulls_last(), "_row", "_e"]
     inside = copies.join(F.broadcast(crossing.where("_cross is not null")), F.col("_range") == F.col("_cross"))
     inside = inside.withColumn("_cum", F.col("_at.b") + F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
     at = inside.where("_cum > _at._budget").agg(F.min("_vf").alias("_cut"))
@@ -98,17 +102,24 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3
     n = F.coalesce(n, F.lit(0))
     return taken.select(
         F.col("_key").alias(key), F.col("_source").alias(source), "size", "source_size", "target",
-        (n * F.col("size")).alias("taken"), n.alias("copies"), F.when(F.col("target") > 0, vf[0]).alias("first_finish"),
+        (n * F.col("size")).alias("taken"), n.alias("copies"), F.when(F.col("target") > 0, vf[0]).alias("first_finish"), *([F.col("_row").alias(row)] if row else []),
     )
 
 
-def mixed_documents(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The documents that the mix takes, all their columns plus copies, ranged by first finish time.
 
-    Needs a unique key. Rows whose key is null are not taken, as no decision can be joined to them.
+    Needs a unique key; rows whose key is null get one of their own, from their text, source and a number among equals.
     """
-    chosen = mix(docs, key=key, **options).where("copies > 0").select(F.col(key).alias("_k"), F.col("copies").alias("_copies"), F.col("first_finish").alias("_first"))
-    out = docs.join(chosen, docs[key] == chosen["_k"]).drop("_k")
+    same = [F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")), F.col(source)]
+    number = F.row_number().over(Window.partitionBy(*same).orderBy(*same))
+    # stored, so that a row has the same number in the mix and in the join
+    unnamed = stored(docs.where(F.col(key).isNull()).withColumn("_row", F.concat_ws("|", same[0], F.coalesce(F.concat(F.lit("="), same[1]), F.lit("")), number.cast("string"))))
+    rows = docs.where(F.col(key).isNotNull()).withColumn("_row", F.lit(None).cast("string")).unionByName(unnamed)
+    decided = stored(mix(rows, key=key, text=text, source=source, row="_row", **options).where("copies > 0"))
+    chosen = decided.select(F.col(key).alias("_k"), F.col("_row").alias("_r"), F.col("copies").alias("_copies"), F.col("first_finish").alias("_first"))
+    named = docs.join(chosen.where("_k is not null").drop("_r"), F.col(key) == F.col("_k")).drop("_k")
+    out = named.unionByName(unnamed.join(chosen.where("_k is null"), F.col("_row") == F.col("_r")).drop("_row", "_r", "_k"))
     return out.repartitionByRange("_first").sortWithinPartitions("_first", key).withColumnRenamed("_copies", "mix_copies").withColumnRenamed("_first", "mix_finish")
 
 

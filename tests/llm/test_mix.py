@@ -55,3 +55,15 @@ def test_mixed_documents_are_ordered(make, prose):
     df = make([(i, prose(i, 20), "en", "ab"[i % 2]) for i in range(60)])
     out = mix.mixed_documents(df).collect()
     assert [r["mix_finish"] for r in out] == sorted(r["mix_finish"] for r in out) and all(r["mix_copies"] > 0 for r in out)
+
+
+def test_rows_without_an_id_are_taken(make, prose):
+    """As many words as the budget, whoever has an id; equal rows without one are documents of their own."""
+    rows = [(i if i % 3 else None, prose(i, 20), "en", "abc"[i // 3 % 3]) for i in range(90)] + [(None, prose(500, 20), "en", None)] * 3
+    df = make(rows)
+    out = mix.mixed_documents(df).collect()
+    assert sum(r["mix_copies"] for r in out) == sum(r["copies"] for r in mix.mix(df).collect()) and out
+    assert sum(r["doc_id"] is None for r in out) > 20
+    count = lambda x: {k: x.count(k) for k in x}
+    was, got = count([r[:2] for r in rows]), count([(r["doc_id"], r["text"]) for r in out])
+    assert all(n <= was[k] for k, n in got.items())
