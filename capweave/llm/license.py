@@ -3,8 +3,8 @@
 Words: A-Z lower-cased, runs of 0-9, a-z and non-ASCII bytes. Base places are those where the words of a fixed
 phrase stand in a row. Beyond them, templates of known notices are found in any text: all rolling word k-gram hashes
 of the documents are joined to the templates' k-grams, each hit votes for its diagonal (document position less
-template position), neighbouring diagonals of a document and template merge (a word added or left out shifts the
-diagonal), and each merged span is verified: the longest common word sequence of span and template, read from the text,
+template position), diagonals of a document and template at most half the template's length apart merge (words added or left
+out shift the diagonal), and each merged span is verified: the longest common word sequence of span and template, read from the text,
 must hold `threshold` of the template's words.
 
 Scale: the templates are a fixed table and are broadcast. A k-gram with a word that no template holds can't join and is
@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from capweave.llm.common import small, stored, table
 
-K, GAP, VOTE_SHARE, THRESHOLD = 4, 3, 0.4, 0.8
+K, GAP, VOTE_SHARE, SHORT, THRESHOLD = 4, 3, 0.4, 12, 0.8
 #: fixed values: phrase, label
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 #: public license notices: label, text
@@ -147,13 +147,16 @@ def template_spans(docs: DataFrame, templates=TEMPLATES, k: int = K, threshold:
     grams = rows.mapInArrow(roll, gram_type).where(F.size("_grams") > 0).select("_key", "_hash", F.explode("_grams").alias("g")).select("_key", "_hash", "g.pos", "g.gram")
     votes = grams.join(places, "gram").groupBy("_key", "_hash", "template", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(
         F.count("*").alias("votes"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.first("n_template").alias("n_template"))
-    # diagonals at most GAP apart belong to one span
+    # diagonals at most GAP, or half the template, apart belong to one span
     order = Window.partitionBy("_key", "_hash", "template").orderBy("diagonal")
-    marked = votes.withColumn("new", (F.col("diagonal") - F.lag("diagonal").over(order) > GAP).cast("int"))
+    marked = votes.withColumn("new", (F.col("diagonal") - F.lag("diagonal").over(order) > F.greatest(F.lit(GAP), F.floor(F.col("n_template") / 2))).cast("int"))
     grouped = marked.withColumn("span", F.coalesce(F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
     spans = grouped.groupBy("_key", "_hash", "template", "span").agg(
         F.sum("votes").alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"), F.min("diagonal").alias("lo"), F.max("diagonal").alias("hi"), F.first("n_template").alias("n_template"))
-    spans = spans.where(F.col("votes") >= F.greatest(F.lit(1), F.ceil((F.col("n_template") - (k - 1)) * VOTE_SHARE)))
+    # a changed word costs k votes at most; in a short template one word can name another license, so there a share of the votes is asked for
+    sure = F.col("n_template") - (k - 1) - k * F.floor(F.col("n_template") * (1 - threshold) + 1e-9)
+    least = F.when(F.col("n_template") < SHORT, F.ceil((F.col("n_template") - (k - 1)) * VOTE_SHARE)).otherwise(sure)
+    spans = spans.where(F.col("votes") >= F.greatest(F.lit(1), least))
     each = spans.select("_key", "_hash", F.struct("template", F.greatest(F.col("lo"), F.lit(0)).alias("first"), (F.col("hi") + F.col("n_template")).alias("last")).alias("s"))
     candidates = stored(each.groupBy("_key", "_hash").agg(F.collect_list("s").alias("spans")))  # bounded by the document's own length
     c = small(candidates).withColumnsRenamed({"_key": "_k", "_hash": "_h"})

@@ -224,3 +224,13 @@ def test_quality_score_is_the_sparse_product(make, prose):
     got = quality.score(make([(1, text)]), (weights, 0.5)).first()["score"]
     assert got == pytest.approx(1 / (1 + math.exp(-(weights[idx] @ val + 0.5))))
     assert hashlib.md5(str(idx.tolist()).encode()).hexdigest()
+
+
+def test_license_with_changed_and_added_words(make):
+    """Few votes, and words put in between: the verification decides."""
+    w = next(t for label, t in license.TEMPLATES if label == "bsd").split()
+    changed = [("other" if i in (5, 10, 15) else x) for i, x in enumerate(w)]
+    at = w.index("forms,") + 1
+    added = w[:at] + ["as", "shipped", "by", "us", "here", "today"] + w[at:]
+    got = {r["doc_id"]: r["labels"] for r in license.scan(make([(1, " ".join(changed)), (2, " ".join(added)), (3, " ".join(w[:8]))])).collect()}
+    assert got == {1: "bsd", 2: "bsd", 3: ""}
