@@ -8,12 +8,15 @@ input, matches stay inside a document, and overlaps count.
    strings hold equal anchors at equal places, so only strings round anchors of two documents can repeat: nothing
    is lost, and text that nothing shares is never sorted.
 3. The anchors' contexts (all strings that the anchor may stand for) are dealt to shards by anchor; in a shard, equal contexts
-   are one. Each shard of bounded bytes gets a suffix array by induced sorting and its permuted common prefixes; suffixes
-   with `length` bytes in common form a class, whose smallest id is the first holder of that string.
+   are one. What different contexts may share gets a suffix array by induced sorting, for each shard of bounded bytes, and its
+   permuted common prefixes; suffixes with `length` bytes in common form a class, whose smallest id is the first holder of that string.
 4. What is not the first holder's is marked, and each document drops the bytes under its marks.
 
-Scale: a third of the documents may share a passage. Anchors of more than `crowd` occurrences are told apart by the strings
-themselves, with plain partial aggregation, so what a shard holds of an anchor is at most `crowd` contexts. Text moves once to meet its anchors, and only sharing documents' text again.
+Scale: anchors travel packed, a few thousand to a row, and are sorted bucket by bucket. A third of the documents may share a
+passage: of an anchor of more than `crowd` occurrences equal contexts are one before they are dealt (partial aggregation), and
+what the shard finds for one goes back to its holders by a join, checked broadcast for those of very many. An anchor with more
+than `crowd` different contexts is dealt by its strings instead. So no shard holds more than `crowd` contexts of an anchor.
+Text moves once to meet its anchors, and only sharing documents' text again.
 
 Defined results: null text: an empty one; null id: kept whole and never a first holder; rows of one id: don't take from
 each other; repeated rows: repeated results; an empty table: no rows; other columns stay out of the result. Ids are integers.
@@ -23,17 +26,17 @@ from __future__ import annotations
 
 import gc
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capweave.llm.common import small, stored, table
 from capweave.llm.suffix import Text, repeated_classes
 
-LENGTH, GRAM, CROWD, SHARD_BYTES = 50, 26, 100_000, 1 << 20
+LENGTH, GRAM, CROWD, SHARD_BYTES = 50, 26, 10_000, 4 << 20
 PIECE = 1 << 20
 _B = 0x9E3779B97F4A7C15 | 1
 
@@ -87,12 +90,6 @@ def _most_over(low: np.ndarray, w: int) -> np.ndarray:
     return np.maximum(x[:n], x[w - span : w - span + n])
 
 
-def context(b: bytes, place: int, length: int, gram: int) -> tuple[int, bytes]:
-    """(start, bytes) of all strings of `length` bytes that hold the gram at a place."""
-    start = max(0, place + gram - length)
-    return start, b[start : place + length]
-
-
 def release(spark: SparkSession) -> None:
     """Lets go of finished shuffles, whose files stay until the driver collects its garbage."""
     gc.collect()
@@ -100,212 +97,240 @@ def release(spark: SparkSession) -> None:
 
 
 def _shared_anchors(texts: DataFrame, length: int, gram: int, crowd: int) -> DataFrame:
-    """(doc, places, crowded): of each document, the places of anchors that another document has too."""
+    """(doc, places, crowded): of each document, the places of anchors that another document has too.
+
+    Anchors travel packed: a row holds those that fall in one bucket of one piece of the input. A bucket is sorted in one go, so
+    buckets are 4 times as many as shuffle partitions. One anchor is at most a few of a document's hundreds, so no bucket is hot.
+    """
+    buckets = 4 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def packed(anchor: list, doc: list, place: list) -> pa.RecordBatch:
+        a, d, p = np.concatenate(anchor), np.concatenate(doc), np.concatenate(place)
+        to = (a.view(np.uint64) % np.uint64(buckets)).astype(np.int32)
+        by = np.argsort(to, kind="stable")
+        cuts = np.flatnonzero(np.concatenate([[True], to[by][1:] != to[by][:-1]]))
+        pieces = [pa.array([x.tobytes() for x in np.split(v[by], cuts[1:])], pa.binary()) for v in (a, d, p)]
+        return pa.RecordBatch.from_arrays([pa.array(to[by][cuts]), *pieces], names=["bucket", "anchors", "docs", "places"])
 
     def find(batches):
+        anchor, doc, place, n = [], [], [], 0
         for b in batches:
-            for i in range(0, b.num_rows, 128):
-                part = b.slice(i, 128)
-                doc, place, h, n = [], [], [], 0
-                for d, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    p, a = anchors(np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8), length, gram)
-                    place.append(p)
-                    h.append(a)
+            for d, t in zip(b.column(0).to_pylist(), b.column(1)):
+                p, a = anchors(np.frombuffer(t.as_buffer(), np.uint8), length, gram)
+                if len(p):
+                    place.append(p.astype(np.int32))
+                    anchor.append(a)
                     doc.append(np.full(len(p), d, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h)), pa.array(np.concatenate(doc)), pa.array(np.concatenate(place).astype(np.int32))], names=["anchor", "doc", "place"])
-
-    rows = texts.select("doc", "text").mapInArrow(find, "anchor long, doc long, place int")
-    rows = rows.repartition("anchor").sortWithinPartitions("anchor")
+                    n += len(p)
+                if n >= PIECE:
+                    yield packed(anchor, doc, place)
+                    anchor, doc, place, n = [], [], [], 0
+        if n:
+            yield packed(anchor, doc, place)
+
+    rows = texts.select("doc", "text").mapInArrow(find, "bucket int, anchors binary, docs binary, places binary")
+    rows = rows.repartition("bucket").sortWithinPartitions("bucket")
+
+    def settled(held: list):
+        a, d, p = (np.concatenate([np.frombuffer(h[i], t) for h in held]) for i, t in enumerate((np.int64, np.int64, np.int32)))
+        by = np.argsort(a, kind="stable")
+        a, d, p = a[by], d[by], p[by]
+        cuts = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+        sizes = np.diff(np.append(cuts, len(a)))
+        many = np.minimum.reduceat(d, cuts) < np.maximum.reduceat(d, cuts)
+        keep = np.repeat(many, sizes)
+        d, p, c = d[keep], p[keep], np.repeat(sizes > crowd, sizes)[keep]
+        for i in range(0, len(d), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)]) for x in (d, p, c)], names=["doc", "place", "crowded"])
 
     def shared(batches):
-        """Rows come in anchor order: runs with two documents at least go on; a run is held up to the crowd limit."""
-        key, held, count, first, many = None, [], 0, None, False
-
-        def send(d, p, c):
-            return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(p, pa.int32()), pa.array(c, pa.bool_())], names=["doc", "place", "crowded"])
-
+        bucket, held = None, []
         for b in batches:
-            a, d, p = (b.column(i).to_numpy() for i in range(3))
-            if not len(a):
-                continue
-            cuts = np.concatenate([[0], np.flatnonzero(a[1:] != a[:-1]) + 1, [len(a)]])
-            lows, highs = np.minimum.reduceat(d, cuts[:-1]), np.maximum.reduceat(d, cuts[:-1])
-            sizes = np.diff(cuts)
-            # whole runs inside the batch are told at once; the first and last may go on over its borders
-            inner = np.zeros(len(sizes), bool)
-            inner[1:-1] = (lows < highs)[1:-1]
-            keep = np.repeat(inner, sizes)
-            if keep.any():
-                yield send(d[keep], p[keep], np.repeat(sizes > crowd, sizes)[keep])
-            for r in {0, len(sizes) - 1}:
-                x, y = cuts[r], cuts[r + 1]
-                if a[x] != key:
-                    if many and held:
-                        yield send(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), np.full(sum(len(h[0]) for h in held), count > crowd))
-                    key, held, count, first, many = a[x], [], 0, d[x], False
-                many = many or lows[r] != first or highs[r] != first
-                count += y - x
-                held.append((d[x:y], p[x:y]))
-                if count > crowd and many:
-                    yield send(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), np.full(sum(len(h[0]) for h in held), True))
+            for k, *piece in zip(*(b.column(i).to_pylist() for i in range(4))):
+                if held and k != bucket:
+                    yield from settled(held)
                     held = []
-        if many and held:
-            yield send(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), np.full(sum(len(h[0]) for h in held), count > crowd))
+                bucket = k
+                held.append(piece)
+        if held:
+            yield from settled(held)
 
     flagged = rows.mapInArrow(shared, "doc long, place int, crowded boolean")
     parts = [F.collect_list(F.when(~F.col("crowded"), F.col("place"))).alias("places"), F.collect_list(F.when(F.col("crowded"), F.col("place"))).alias("crowded")]
     return flagged.groupBy("doc").agg(*parts)  # bounded by the document's own length
 
 
-def _contexts(sharing: DataFrame, length: int, gram: int) -> DataFrame:
-    """(anchor, ctx, at, doc, tid, start): the context of each shared anchor and where the gram is in it, dealt by anchor, in its order."""
+def windows(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The bytes of all given stretches of a byte array, one after the other."""
+    ends = np.cumsum(lengths)
+    return flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each row of a byte matrix."""
+    wide = np.zeros((len(x), -(-x.shape[1] // 8) * 8), np.uint8)
+    wide[:, : x.shape[1]] = x
+    out = np.zeros(len(x), np.uint64)
+    for word in wide.view("<u8").T:
+        out = (out ^ word) * np.uint64(_B)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def _contexts(sharing: DataFrame, places: str, length: int, gram: int) -> DataFrame:
+    """(anchor, ctx, at, doc, tid, start): the context of each listed anchor (all strings that hold it) and where the gram is in it."""
+
+    def made(part: pa.RecordBatch):
+        texts, listed = part.column(1).cast(pa.binary()), part.column(2)
+        flat = np.frombuffer(b"".join(texts.to_pylist()), np.uint8)
+        sizes = np.diff(np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]).astype(np.int64)
+        every = np.repeat(np.arange(len(texts)), listed.value_lengths().to_numpy())
+        place = listed.flatten().to_numpy().astype(np.int64)
+        fits = place + gram <= sizes[every]  # rows of one id may have texts of their own
+        every, place = every[fits], place[fits]
+        for i in range(0, len(every), 10_000):
+            of, at = every[i : i + 10_000], place[i : i + 10_000]
+            begin = (np.cumsum(sizes) - sizes)[of]
+            start, stop = np.maximum(0, at + gram - length), np.minimum(at + length, sizes[of])
+            key = _mixed(flat[(begin + at)[:, None] + np.arange(gram)]).view(np.int64)
+            offsets = np.concatenate([[0], np.cumsum(stop - start)]).astype(np.int32)
+            ctx = pa.Array.from_buffers(pa.binary(), len(of), [None, pa.py_buffer(offsets), pa.py_buffer(windows(flat, begin + start, stop - start))])
+            own = pa.array(of)
+            yield pa.RecordBatch.from_arrays([pa.array(key), ctx, pa.array((at - start).astype(np.int32)), part.column(0).take(own), part.column(3).take(own), pa.array(start)], names=["anchor", "ctx", "at", "doc", "tid", "start"])
 
     def run(batches):
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part, out = b.slice(i, 256), []
-                for d, t, places, tid in zip(*(part.column(j).to_pylist() for j in range(4))):
-                    raw = t.encode("utf-8", "surrogatepass")
-                    for p in places:
-                        if p + gram <= len(raw):
-                            start, c = context(raw, p, length, gram)
-                            out.append((xxhash.xxh64_intdigest(raw[p : p + gram]) - (1 << 63), c, p - start, d, tid, start))
-                if out:
-                    kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names=["anchor", "ctx", "at", "doc", "tid", "start"])
-
-    rows = sharing.select("doc", "text", "places", "tid").mapInArrow(run, "anchor long, ctx binary, at int, doc long, tid long, start long")
-    return rows.repartition("anchor").sortWithinPartitions("anchor")
-
-
-class Shard:
-    """Contexts of whole anchors, solved together: which of their strings a smaller id has."""
-
-    def __init__(self, length: int, gram: int) -> None:
-        self.length, self.gram, self.half = length, gram, (length - gram + 1) // 2
-        self.clear()
-
-    def clear(self) -> None:
-        self.contexts: list[bytes] = []
-        self.bytes = 0
-        self.at: list[int] = []  # of each occurrence: its context
-        self.doc: list[int] = []
-        self.tid: list[int] = []
-        self.start: list[int] = []
-
-    def add(self, ctx: list[bytes], at: list[int], doc: list[int], tid: list[int], start: list[int]) -> None:
-        """One anchor's occurrences, less contexts that can't share a string: it reaches half of what is left over the gram to one side."""
-        low = min(doc)
-        if low == max(doc):
-            return
-        number: dict[bytes, int] = {}
-        of = [number.setdefault(c, len(number)) for c in ctx]
-        kept = set(range(len(number)))
-        if len(number) > 1:
-            sides: dict[tuple, int] = {}
-            own: dict[int, set] = {}
-            docs: dict[int, int] = {}
-            many = set()
-            for n, c, a, d in zip(of, ctx, at, doc):
-                if docs.setdefault(n, d) != d:
-                    many.add(n)
-                if n not in own:
-                    left = (0, c[a - self.half : a]) if a >= self.half else None
-                    right = (1, c[a + self.gram : a + self.gram + self.half]) if len(c) >= a + self.gram + self.half else None
-                    own[n] = (left, right)
-                    for k in (left, right):
-                        if k is not None:
-                            sides[k] = sides.get(k, 0) + 1
-            kept = {n for n, (left, right) in own.items() if n in many or sides.get(left, 0) > 1 or sides.get(right, 0) > 1}
-            if not kept:
-                return
-        place = {}
-        for c, n in number.items():
-            if n in kept:
-                place[n] = len(self.contexts)
-                self.contexts.append(c)
-                self.bytes += len(c)
-        for n, d, t, s in zip(of, doc, tid, start):
-            if n in kept:
-                self.at.append(place[n])
-                self.doc.append(d)
-                self.tid.append(t)
-                self.start.append(s)
-
-    def solve(self) -> pa.RecordBatch | None:
-        """(doc, tid, start, mask) of the occurrences that lose something."""
-        if not self.contexts:
-            return None
-        x, of, doc = Text(self.contexts), np.array(self.at), np.array(self.doc, np.int64)
-        low = np.full(len(self.contexts), np.iinfo(np.int64).max)
-        np.minimum.at(low, of, doc)
-        at, number = repeated_classes(x, self.length)
-        firsts = np.repeat(low, x.ends - x.starts + 1)
-        if len(at):
+            for i in range(0, b.num_rows, 128):
+                yield from made(b.slice(i, 128))
+
+    rows = sharing.where(F.size(places) > 0).select("doc", "text", F.col(places).alias("places"), "tid")
+    return rows.mapInArrow(run, "anchor long, ctx binary, at int, doc long, tid long, start long")
+
+
+def _held_twice(*keys: np.ndarray) -> np.ndarray:
+    """Which rows have keys that another row has too."""
+    by = np.lexsort(keys)
+    new = np.zeros(len(by), bool)
+    for k in keys:
+        new[1:] |= k[by][1:] != k[by][:-1]
+    new[:1] = True
+    out = np.empty(len(by), bool)
+    out[by] = ~new | ~np.append(new[1:], True)
+    return out
+
+
+def first_holders(anchor: np.ndarray, ctx: pa.BinaryArray, at: np.ndarray, low: np.ndarray, high: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, firsts) of a shard, contexts of whole anchors: firsts[i, j] is the smallest id that holds the string at j of the context of
+    rows[i]. Left out are rows of contexts that share no string. low, high: the ids that hold a row's context."""
+    side, width, none = length - gram, 2 * length - gram, np.iinfo(np.int64).max
+    offsets = np.frombuffer(ctx.buffers()[1], np.int32)[ctx.offset : ctx.offset + len(ctx) + 1].astype(np.int64)
+    data, sizes, first = np.frombuffer(ctx.buffers()[2], np.uint8), np.diff(offsets), side - at.astype(np.int64)
+    # a row for each context, the grams below each other
+    cell = np.arange(width) - first[:, None]
+    there = (cell >= 0) & (cell < sizes[:, None])
+    grid = np.where(there, data[np.minimum(np.maximum(offsets[:-1, None] + cell, 0), len(data) - 1)], 0)
+    # equal contexts are one; a clash of hashes only leaves some apart
+    by = np.lexsort((_mixed(grid), sizes, at, anchor))
+    a, b = by[1:], by[:-1]
+    same = (anchor[a] == anchor[b]) & (at[a] == at[b]) & (sizes[a] == sizes[b]) & (grid[a] == grid[b]).all(axis=1)
+    cuts = np.flatnonzero(np.concatenate([[True], ~same]))
+    of = np.empty(len(by), np.int64)
+    of[by] = np.repeat(np.arange(len(cuts)), np.diff(np.append(cuts, len(by))))
+    lows, highs, one = np.minimum.reduceat(low[by], cuts), np.maximum.reduceat(high[by], cuts), by[cuts]
+    # the strings of a context are its smallest holder's, unless another context has them: then both reach half of what is
+    # left over the gram to one side, and go into the array
+    half, twice = (side + 1) // 2, np.zeros(len(one), bool)
+    for ok, part in ((at[one] >= half, grid[one, side - half : side]), (sizes[one] - at[one] - gram >= half, grid[one, side + gram : side + gram + half])):
+        some = np.flatnonzero(ok)
+        twice[some] |= _held_twice(_mixed(part[some]), anchor[one][some])
+    table = np.where(np.arange(side + 1) + length <= sizes[one][:, None], lows[:, None], none)
+    if twice.any():
+        one, owns = one[twice], lows[twice]
+        x = Text((grid[one][there[one]], sizes[one]))
+        found, number = repeated_classes(x, length)
+        firsts = np.repeat(owns, x.ends - x.starts + 1)
+        if len(found):
             cuts = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
-            least = np.minimum.reduceat(low[np.searchsorted(x.ends, at)], cuts)
-            firsts[at] = np.repeat(least, np.diff(np.append(cuts, len(at))))
-        bit = np.arange(self.length - self.gram + 1)
-        where = x.starts[of][:, None] + bit
-        loses = (where + self.length <= x.ends[of][:, None]) & (firsts[np.minimum(where, len(firsts) - 1)] < doc[:, None])
-        mask = (loses.astype(np.int64) << bit).sum(axis=1)
-        on = np.flatnonzero(mask)
-        if not len(on):
-            return None
-        return pa.RecordBatch.from_arrays([pa.array(doc[on]), pa.array(np.array(self.tid, np.int64)[on]), pa.array(np.array(self.start, np.int64)[on]), pa.array(mask[on])], names=["doc", "tid", "start", "mask"])
+            firsts[found] = np.repeat(np.minimum.reduceat(owns[np.searchsorted(x.ends, found)], cuts), np.diff(np.append(cuts, len(found))))
+        where = x.starts[:, None] + np.arange(side + 1)
+        table[twice] = np.where(where + length <= x.ends[:, None], firsts[np.minimum(where, len(firsts) - 1)], none)
+    rows = np.flatnonzero((twice | (lows < highs))[of])
+    return rows, table[of[rows]]
+
+
+def _shards(batches, shard_bytes: int):
+    """Rows in the order of their first column, in pieces of about so many bytes that hold whole runs of it."""
+    held, size = [], 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        size += b.nbytes
+        if size >= shard_bytes:
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            a = rows.column(0).to_numpy()
+            at = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+            cut, done, goal = int(at[-1]), 0, max(1, shard_bytes * len(a) // size)
+            while done < cut:  # a batch may hold many shards
+                end = int(at[min(np.searchsorted(at, done + goal), len(at) - 1)])
+                yield rows.slice(done, end - done)
+                done = end
+            held, size = [rows.slice(cut)], size * (len(a) - cut) // len(a)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
 def _marks(contexts: DataFrame, length: int, gram: int, shard_bytes: int) -> DataFrame:
     """(doc, tid, start, mask): bit i of mask marks the string at start + i as held by a smaller id."""
+    bits = np.int64(1) << np.arange(length - gram + 1)
 
     def run(batches):
-        shard, key, group = Shard(length, gram), None, None
-        for b in batches:
-            a = b.column(0).to_numpy()
-            if not len(a):
-                continue
-            columns = [b.column(i).to_pylist() for i in range(1, 6)]
-            cuts = [0, *(np.flatnonzero(a[1:] != a[:-1]) + 1).tolist(), len(a)]
-            for x, y in zip(cuts, cuts[1:]):
-                run_ = [c[x:y] for c in columns]
-                if group is not None and a[x] == key:
-                    for g, r in zip(group, run_):
-                        g += r
-                    continue
-                if group is not None:
-                    shard.add(*group)
-                    if shard.bytes >= shard_bytes:
-                        if (got := shard.solve()) is not None:
-                            yield got
-                        shard.clear()
-                key, group = a[x], run_
-        if group is not None:
-            shard.add(*group)
-        if (got := shard.solve()) is not None:
-            yield got
-
-    return contexts.mapInArrow(run, "doc long, tid long, start long, mask long")
-
-
-def _crowded_marks(sharing: DataFrame, length: int, gram: int) -> DataFrame:
-    """The same for anchors of many documents, string by string."""
+        for b in _shards(batches, shard_bytes):
+            anchor, at, doc = (b.column(i).to_numpy() for i in (0, 2, 3))
+            rows, firsts = first_holders(anchor, b.column(1), at, doc, doc, length, gram)
+            mask = np.where(firsts < doc[rows][:, None], bits, 0).sum(axis=1)
+            on = np.flatnonzero(mask)
+            if len(on):
+                lost = b.take(pa.array(rows[on]))
+                yield pa.RecordBatch.from_arrays([*(lost.column(i) for i in (3, 4, 5)), pa.array(mask[on])], names=["doc", "tid", "start", "mask"])
 
-    def run(batches):
-        for b in batches:
-            for i in range(0, b.num_rows, 128):
-                part, out = b.slice(i, 128), {}
-                for d, t, places, tid in zip(*(part.column(j).to_pylist() for j in range(4))):
-                    raw = t.encode("utf-8", "surrogatepass")
-                    for p in places:
-                        start, c = context(raw, p, length, gram)
-                        for o in range(len(c) - length + 1):
-                            out[d, tid, start + o] = c[o : o + length]
-                if out:
-                    yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in zip(*out)), pa.array(list(out.values()), pa.binary())], names=["doc", "tid", "start", "s"])
+    rows = contexts.repartition("anchor").sortWithinPartitions("anchor")
+    return rows.mapInArrow(run, "doc long, tid long, start long, mask long")
 
-    each = sharing.where(F.size("crowded") > 0).select("doc", "text", "crowded", "tid").mapInArrow(run, "doc long, tid long, start long, s binary")
-    first = each.groupBy("s").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("s", "low")
-    return each.join(first, "s").where("doc > low").select("doc", "tid", "start", F.lit(1).cast("long").alias("mask"))
+
+def _crowded_marks(contexts: DataFrame, length: int, gram: int, crowd: int, shard_bytes: int) -> DataFrame:
+    """The same for anchors of many documents: equal contexts become one before they are dealt, and what is found of one goes back to all.
+
+    Where an anchor has over `crowd` different contexts, their strings are dealt instead (a context of a gram of `length` bytes is its string).
+    """
+    one = stored(contexts.groupBy("anchor", "ctx", "at").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("n")))
+    wide = small(stored(one.groupBy("anchor").agg(F.count("*").alias("c")).where(F.col("c") > crowd).select(F.col("anchor").alias("w"))))
+
+    def run(batches):
+        for b in _shards(batches, shard_bytes):
+            anchor, at, low, high = (b.column(i).to_numpy() for i in (0, 2, 3, 4))
+            rows, firsts = first_holders(anchor, b.column(1), at, low, high, length, gram)
+            on = (firsts < high[rows][:, None]).any(axis=1)
+            if on.any():
+                lost, firsts = b.take(pa.array(rows[on])), firsts[on]
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(firsts) + 1, dtype=np.int32) * firsts.shape[1]), pa.array(firsts.ravel()))
+                yield pa.RecordBatch.from_arrays([lost.column(1), lost.column(5), lists], names=["c", "n", "firsts"])
+
+    narrow = one.join(wide, F.col("anchor") == F.col("w"), "left_anti").select("anchor", "ctx", "at", "low", "high", "n")
+    solved = narrow.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "c binary, n long, firsts array<long>")
+    some = one.join(wide, F.col("anchor") == F.col("w"), "left_semi")
+    spelt = some.select("ctx", "low", "high", "n", F.explode(F.sequence(F.lit(0), F.octet_length("ctx") - length)).alias("i")).where("i >= 0")
+    spelt = spelt.withColumn("s", F.expr(f"substring(ctx, i + 1, {length})"))
+    lowest = spelt.groupBy("s").agg(F.min("low").alias("first"), F.max("high").alias("last")).where("first < last").select("s", "first")
+    back = spelt.join(lowest, "s").groupBy("ctx").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("i", "first"))).alias("f"))
+    full = F.transform(F.sequence(F.lit(0), F.lit(length - gram)), lambda i: F.coalesce(F.get(F.filter("f", lambda x: x["i"] == i), F.lit(0))["first"], F.lit(np.iinfo(np.int64).max)))
+    solved = stored(solved.unionByName(back.select(F.col("ctx").alias("c"), "n", full.alias("firsts"))))
+    mask = F.expr("aggregate(transform(firsts, (f, i) -> if(f < doc, shiftleft(1L, i), 0L)), 0L, (a, b) -> a + b)")
+    # what many documents hold is little, and goes to all of them; the rest meets in a join
+    often, few = 10_000, 50_000
+    parts = [solved] if solved.limit(few + 1).count() <= few else [solved.where(F.col("n") > often), solved.where(F.col("n") <= often)]
+    hits = [contexts.join(small(df, few), F.col("ctx") == F.col("c")).select("doc", "tid", "start", mask.alias("mask")).where("mask <> 0") for df in parts]
+    return reduce(DataFrame.unionByName, hits)
 
 
 def strip(raw: bytes, marks: list[tuple[int, int]], length: int) -> tuple[int, int, bytes]:
@@ -342,7 +367,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, cro
     release(spark)
     sharing = stored(singles.join(places, "doc"))
     release(spark)
-    marks = _marks(_contexts(sharing, length, gram), length, gram, shard_bytes).unionByName(_crowded_marks(sharing, length, gram))
+    marks = _marks(_contexts(sharing, "places", length, gram), length, gram, shard_bytes)
+    marks = marks.unionByName(_crowded_marks(_contexts(sharing, "crowded", length, gram), length, gram, crowd, shard_bytes))
     marks = stored(marks.groupBy(F.col("doc").alias("d"), F.col("tid").alias("t")).agg(F.collect_list(F.struct("start", "mask")).alias("marks")))
     release(spark)
     marked = sharing.join(marks, (F.col("doc") == F.col("d")) & (F.col("tid") == F.col("t"))).select("doc", "tid", "text", "marks")

@@ -18,12 +18,14 @@ SYMBOLS, NOTHING = 257, 0xFFFF
 class Text:
     """Segments as one symbol array with its suffix types."""
 
-    def __init__(self, segments: list[bytes]) -> None:
-        lengths = np.fromiter(map(len, segments), np.int64, len(segments))
-        flat = np.frombuffer(b"".join(segments), np.uint8)
+    def __init__(self, segments: list[bytes] | tuple[np.ndarray, np.ndarray]) -> None:
+        """segments: byte strings, or (all their bytes in a row, their lengths)."""
+        if not isinstance(segments, tuple):
+            segments = np.frombuffer(b"".join(segments), np.uint8), np.fromiter(map(len, segments), np.int64, len(segments))
+        flat, lengths = segments
         self.ends = np.cumsum(lengths + 1) - 1  # of each segment: where its separator stands
         self.starts = self.ends - lengths
-        n = len(flat) + len(segments)
+        n = len(flat) + len(lengths)
         self.t = np.zeros(n, np.uint16)
         body = np.ones(n, bool)
         body[self.ends] = False
@@ -149,15 +151,18 @@ def suffix_array(x: Text) -> np.ndarray:
     return induce(x, ordered_lms(x))
 
 
-def common_prefixes(x: Text, sa: np.ndarray) -> np.ndarray:
-    """Permuted common prefixes: for each position, bytes in common with the suffix before it in the array, not past a separator."""
+def common_prefixes(x: Text, sa: np.ndarray, least: int = 1) -> np.ndarray:
+    """Permuted common prefixes: for each position, bytes in common with the suffix before it in the array, not past a separator.
+
+    Suffixes of fewer than `least` bytes can't have so many in common: they are left out (0).
+    """
     n = len(sa)
     before = np.full(n, -1, np.int64)
     before[sa[1:]] = sa[:-1]
     out = np.zeros(n, np.int64)
     had = np.zeros(len(x.starts), np.int64)
-    for off in range(int((x.ends - x.starts).max(initial=0))):
-        seg = np.flatnonzero(x.starts + off < x.ends)
+    for off in range(int((x.ends - x.starts).max(initial=0)) - least + 1):
+        seg = np.flatnonzero(x.starts + off + least <= x.ends)
         i = x.starts[seg] + off
         p = before[i]
         most = np.where(p >= 0, np.minimum(x.ends[seg] - i, x.end_of[p] - p), 0)
@@ -175,7 +180,7 @@ def common_prefixes(x: Text, sa: np.ndarray) -> np.ndarray:
 def repeated_classes(x: Text, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(positions, class numbers) of the suffixes that share their first `length` bytes with another suffix."""
     sa = suffix_array(x)
-    lcp = common_prefixes(x, sa)[sa]
+    lcp = common_prefixes(x, sa, length)[sa]
     joined = lcp >= length
     member = joined | np.append(joined[1:], False)
     number = np.cumsum(~joined)
