@@ -14,7 +14,7 @@ input, matches stay inside a document, and overlaps count.
 
 Scale: anchors travel packed, a few thousand to a row, and are sorted bucket by bucket. A third of the documents may share a
 passage: of an anchor of more than `crowd` occurrences equal contexts are one before they are dealt (partial aggregation), and
-what the shard finds for one goes back to its holders by a join, checked broadcast for those of very many. An anchor with more
+what the shard finds for one goes back to its holders (by a look-up where it is little, else by a join). An anchor with more
 than `crowd` different contexts is dealt by its strings instead. So no shard holds more than `crowd` contexts of an anchor.
 Text moves once to meet its anchors, and only sharing documents' text again.
 
@@ -30,13 +30,15 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from capweave.llm.common import small, stored, table
+from capweave.llm.common import SMALL_ROWS, small, stored, table
 from capweave.llm.suffix import Text, repeated_classes
 
 LENGTH, GRAM, CROWD, SHARD_BYTES = 50, 26, 10_000, 4 << 20
+FEW, OFTEN = 50_000, 10_000
 PIECE = 1 << 20
 _B = 0x9E3779B97F4A7C15 | 1
 
@@ -177,8 +179,14 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _contexts(sharing: DataFrame, places: str, length: int, gram: int) -> DataFrame:
-    """(anchor, ctx, at, doc, tid, start): the context of each listed anchor (all strings that hold it) and where the gram is in it."""
+CONTEXT = "anchor long, ctx binary, at int, doc long, tid long, start long"
+
+
+def _contexts(sharing: DataFrame, places: str, length: int, gram: int, then=None, schema: str = CONTEXT) -> DataFrame:
+    """(anchor, ctx, at, doc, tid, start): the context of each listed anchor (all strings that hold it) and where the gram is in it.
+
+    then: what to make of a batch of these, if not they themselves, with a schema of its own.
+    """
 
     def made(part: pa.RecordBatch):
         texts, listed = part.column(1).cast(pa.binary()), part.column(2)
@@ -201,10 +209,14 @@ def _contexts(sharing: DataFrame, places: str, length: int, gram: int) -> DataFr
     def run(batches):
         for b in batches:
             for i in range(0, b.num_rows, 128):
-                yield from made(b.slice(i, 128))
+                for c in made(b.slice(i, 128)):
+                    if then is None:
+                        yield c
+                    elif (out := then(c)) is not None:
+                        yield out
 
     rows = sharing.where(F.size(places) > 0).select("doc", "text", F.col(places).alias("places"), "tid")
-    return rows.mapInArrow(run, "anchor long, ctx binary, at int, doc long, tid long, start long")
+    return rows.mapInArrow(run, schema)
 
 
 def _held_twice(*keys: np.ndarray) -> np.ndarray:
@@ -280,29 +292,38 @@ def _shards(batches, shard_bytes: int):
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
+MARK = "doc long, tid long, start long, mask long"
+
+
+def lost(b: pa.RecordBatch, rows: np.ndarray, firsts: np.ndarray) -> pa.RecordBatch | None:
+    """The marks of some rows of a batch of contexts, of which the first holders of their strings are known."""
+    mask = np.where(firsts < b.column(3).to_numpy()[rows][:, None], np.int64(1) << np.arange(firsts.shape[1]), 0).sum(axis=1)
+    on = np.flatnonzero(mask)
+    if not len(on):
+        return None
+    some = b.take(pa.array(rows[on]))
+    return pa.RecordBatch.from_arrays([*(some.column(i) for i in (3, 4, 5)), pa.array(mask[on])], names=["doc", "tid", "start", "mask"])
+
+
 def _marks(contexts: DataFrame, length: int, gram: int, shard_bytes: int) -> DataFrame:
     """(doc, tid, start, mask): bit i of mask marks the string at start + i as held by a smaller id."""
-    bits = np.int64(1) << np.arange(length - gram + 1)
 
     def run(batches):
         for b in _shards(batches, shard_bytes):
             anchor, at, doc = (b.column(i).to_numpy() for i in (0, 2, 3))
-            rows, firsts = first_holders(anchor, b.column(1), at, doc, doc, length, gram)
-            mask = np.where(firsts < doc[rows][:, None], bits, 0).sum(axis=1)
-            on = np.flatnonzero(mask)
-            if len(on):
-                lost = b.take(pa.array(rows[on]))
-                yield pa.RecordBatch.from_arrays([*(lost.column(i) for i in (3, 4, 5)), pa.array(mask[on])], names=["doc", "tid", "start", "mask"])
+            if (out := lost(b, *first_holders(anchor, b.column(1), at, doc, doc, length, gram))) is not None:
+                yield out
 
     rows = contexts.repartition("anchor").sortWithinPartitions("anchor")
-    return rows.mapInArrow(run, "doc long, tid long, start long, mask long")
+    return rows.mapInArrow(run, MARK)
 
 
-def _crowded_marks(contexts: DataFrame, length: int, gram: int, crowd: int, shard_bytes: int) -> DataFrame:
+def _crowded_marks(sharing: DataFrame, length: int, gram: int, crowd: int, shard_bytes: int, few: int) -> DataFrame:
     """The same for anchors of many documents: equal contexts become one before they are dealt, and what is found of one goes back to all.
 
     Where an anchor has over `crowd` different contexts, their strings are dealt instead (a context of a gram of `length` bytes is its string).
     """
+    contexts = _contexts(sharing, "crowded", length, gram)
     one = stored(contexts.groupBy("anchor", "ctx", "at").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count("*").alias("n")))
     wide = small(stored(one.groupBy("anchor").agg(F.count("*").alias("c")).where(F.col("c") > crowd).select(F.col("anchor").alias("w"))))
 
@@ -325,12 +346,23 @@ def _crowded_marks(contexts: DataFrame, length: int, gram: int, crowd: int, shar
     back = spelt.join(lowest, "s").groupBy("ctx").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("i", "first"))).alias("f"))
     full = F.transform(F.sequence(F.lit(0), F.lit(length - gram)), lambda i: F.coalesce(F.get(F.filter("f", lambda x: x["i"] == i), F.lit(0))["first"], F.lit(np.iinfo(np.int64).max)))
     solved = stored(solved.unionByName(back.select(F.col("ctx").alias("c"), "n", full.alias("firsts"))))
+    known = solved.limit(few + 1).toArrow()
+    if known.num_rows <= few:
+        found = known.combine_chunks()
+        firsts = np.array(found["firsts"].to_pylist(), np.int64).reshape(-1, length - gram + 1)
+        shared = sharing.sparkSession.sparkContext.broadcast((pa.array(found["c"].to_pylist(), pa.binary()), firsts))
+
+        def look_up(b: pa.RecordBatch):
+            held, firsts = shared.value
+            at = pc.fill_null(pc.index_in(b.column(1), held), -1).to_numpy()
+            rows = np.flatnonzero(at >= 0)
+            return lost(b, rows, firsts[at[rows]])
+
+        return _contexts(sharing, "crowded", length, gram, look_up, MARK)
+    # too many to hold: those of very many documents are few, and go to all; the rest meets in a join
     mask = F.expr("aggregate(transform(firsts, (f, i) -> if(f < doc, shiftleft(1L, i), 0L)), 0L, (a, b) -> a + b)")
-    # what many documents hold is little, and goes to all of them; the rest meets in a join
-    often, few = 10_000, 50_000
-    parts = [solved] if solved.limit(few + 1).count() <= few else [solved.where(F.col("n") > often), solved.where(F.col("n") <= often)]
-    hits = [contexts.join(small(df, few), F.col("ctx") == F.col("c")).select("doc", "tid", "start", mask.alias("mask")).where("mask <> 0") for df in parts]
-    return reduce(DataFrame.unionByName, hits)
+    parts = [small(solved.where(F.col("n") > OFTEN)), solved.where(F.col("n") <= OFTEN)]
+    return reduce(DataFrame.unionByName, [contexts.join(df, F.col("ctx") == F.col("c")).select("doc", "tid", "start", mask.alias("mask")).where("mask <> 0") for df in parts])
 
 
 def strip(raw: bytes, marks: list[tuple[int, int]], length: int) -> tuple[int, int, bytes]:
@@ -349,7 +381,7 @@ def strip(raw: bytes, marks: list[tuple[int, int]], length: int) -> tuple[int, i
     return int(gone.sum()), runs, np.frombuffer(raw, np.uint8)[~gone].tobytes()
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, shard_bytes: int = SHARD_BYTES, key: str = "doc_id", text: str = "text", texts: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, shard_bytes: int = SHARD_BYTES, few: int = FEW, key: str = "doc_id", text: str = "text", texts: bool = False) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256[, kept binary]) for every row."""
     if not length - 62 <= gram <= length:
         raise ValueError("a context's strings must fit the bits of a mask")
@@ -357,8 +389,12 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, cro
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     known = rows.select("doc", F.sha2("text", 256).alias("sha"), F.octet_length("text").cast("long").alias("n_bytes"), F.xxhash64("text").alias("tid"))
     known = stored(known)
-    lowest = known.where("doc is not null").groupBy("sha").agg(F.min("doc").alias("first"))
-    known = stored(known.join(lowest, "sha", "left"))
+    # texts of several rows; those of very many rows are few, and go to all where not all fit
+    held = stored(known.where("doc is not null").groupBy("sha").agg(F.min("doc").alias("first"), F.count("*").alias("n")).where("n > 1"))
+    several = [held] if held.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else [held.where(F.col("n") > OFTEN), held.where(F.col("n") <= OFTEN)]
+    for i, df in enumerate(several):
+        known = known.join(small(df.select(F.col("sha").alias(f"sha{i}"), F.col("first").alias(f"first{i}"))), F.col("sha") == F.col(f"sha{i}"), "left")
+    known = stored(known.withColumn("first", F.coalesce(*(f"first{i}" for i in range(len(several))))).select("doc", "sha", "n_bytes", "tid", "first"))
     # texts of their first holder, long enough to hold a string
     long_rows = rows.where(F.col("doc").isNotNull() & (F.octet_length("text") >= length))
     copies = known.where((F.col("doc") > F.col("first")) & (F.col("n_bytes") >= length)).select(F.col("doc").alias("d"), F.col("tid").alias("t")).distinct()
@@ -368,7 +404,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, cro
     sharing = stored(singles.join(places, "doc"))
     release(spark)
     marks = _marks(_contexts(sharing, "places", length, gram), length, gram, shard_bytes)
-    marks = marks.unionByName(_crowded_marks(_contexts(sharing, "crowded", length, gram), length, gram, crowd, shard_bytes))
+    marks = marks.unionByName(_crowded_marks(sharing, length, gram, crowd, shard_bytes, few))
     marks = stored(marks.groupBy(F.col("doc").alias("d"), F.col("tid").alias("t")).agg(F.collect_list(F.struct("start", "mask")).alias("marks")))
     release(spark)
     marked = sharing.join(marks, (F.col("doc") == F.col("d")) & (F.col("tid") == F.col("t"))).select("doc", "tid", "text", "marks")
