@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capweave.functions import urls, values
-from capweave.schema import field
+from capweave.schema import field, once
 
-BROADCAST_RULES = 100_000
+BROADCAST_RULES, SINGLE_RULES = 100_000, 32
 
 
 @dataclass(frozen=True, order=True)
@@ -80,25 +81,26 @@ def capture_path(df: DataFrame) -> Column:
 
 
 def allowed(df: DataFrame, rules) -> DataFrame:
-    """The rows that a rule allows; no rules allow nothing."""
+    """The rows that a rule allows; no rules allow nothing.
+
+    Host and path are computed once a row. A host's rules are those of itself and its suffixes, found by an equi-join of the distinct
+    hosts' suffixes with the rules; the hosts that have any (no more than rules and hosts allow) then meet the rows in one join.
+    """
     spark, rules = df.sparkSession, canonical(rules)
     if not rules:
         return df.limit(0)
     listed = spark.createDataFrame([(r.host, r.path, r.match == "domain") for r in rules], "_rule_host string, _rule_path string, _rule_domain boolean")
-    if len(rules) <= BROADCAST_RULES:
-        # a host's candidates are itself and its suffixes: an equality for each rule's host, tried against an array
-        by = listed.groupBy("_rule_host").agg(F.collect_list(F.struct("_rule_path", "_rule_domain")).alias("_rules"))
-        table = F.broadcast(by.agg(F.map_from_entries(F.collect_list(F.struct("_rule_host", "_rules"))).alias("_by_host")))
-        with_map = df.crossJoin(table)  # one row of a checked size
-        host, path = capture_host(df), capture_path(df)
-        labels = F.split(host, r"[.]", -1)
-        suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-        fits = lambda r: (r["_rule_path"] == "/") | path.startswith(r["_rule_path"])
-        hit = F.exists(suffixes, lambda s: F.coalesce(F.exists(F.element_at("_by_host", s), lambda r: (r["_rule_domain"] | (s == host)) & fits(r)), F.lit(False)))
-        return with_map.where(F.coalesce(hit, F.lit(False))).drop("_by_host")
-    keyed = df.withColumn("_host", capture_host(df)).withColumn("_path", capture_path(df)).withColumn("_row", F.monotonically_increasing_id())
-    labels = F.split("_host", r"[.]", -1)
-    suffix = F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))
-    wide = keyed.withColumn("_suffix", suffix)
-    hit = (F.col("_suffix") == F.col("_rule_host")) & (F.col("_rule_domain") | (F.col("_suffix") == F.col("_host"))) & ((F.col("_rule_path") == "/") | F.col("_path").startswith(F.col("_rule_path")))
-    return wide.join(listed, hit, "left_semi").dropDuplicates(["_row"]).drop("_host", "_path", "_row", "_suffix")
+    by = listed.groupBy("_rule_host").agg(F.collect_list(F.struct("_rule_path", "_rule_domain")).alias("_rules"))
+    keyed = once(df, _host=capture_host(df), _path=capture_path(df))
+    if len(rules) <= SINGLE_RULES:  # so few that each row's host can be tried against them all
+        own, path = F.col("_host"), F.col("_path")
+        hits = [((own == r.host) | (F.lit(r.match == "domain") & own.endswith(f".{r.host}"))) & (F.lit(r.path == "/") | path.startswith(r.path)) for r in rules]
+        return keyed.where(reduce(Column.__or__, hits)).drop("_host", "_path")
+    hosts = once(keyed.select("_host").where("_host is not null").distinct(), _labels=F.split("_host", r"[.]", -1))
+    n = F.size("_labels")
+    suffixes = hosts.select("_host", F.explode(F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice("_labels", i, n), "."))).alias("_suffix"))
+    met = suffixes.join(F.broadcast(by) if len(rules) <= BROADCAST_RULES else by, F.col("_suffix") == F.col("_rule_host"))
+    paths = F.transform(F.filter("_rules", lambda r: r["_rule_domain"] | (F.col("_suffix") == F.col("_host"))), lambda r: r["_rule_path"])
+    ruled = met.groupBy(F.col("_host").alias("_ruled")).agg(F.array_distinct(F.flatten(F.collect_list(paths))).alias("_paths")).where(F.size("_paths") > 0)
+    fits = F.exists("_paths", lambda p: (p == "/") | F.col("_path").startswith(p))
+    return keyed.join(ruled, F.col("_host") == F.col("_ruled")).where(fits).drop("_host", "_path", "_ruled", "_paths")

@@ -29,8 +29,8 @@ ASSET_MIMES = (
 )
 ASSET_MIME_PREFIXES = ("audio/", "font/", "image/", "video/")
 ASSET_EXTENSIONS = (
-    "7z", "avi", "avif", "bmp", "br", "css", "eot", "gif", "gz", "ico", "jpeg", "jpg", "js", "json", "map", "mjs", "mov", "mp3",
-    "mp4", "otf", "pdf", "png", "rar", "svg", "tar", "tgz", "ttf", "wasm", "webm", "webp", "woff", "woff2", "zip",
+    ".7z", ".avi", ".avif", ".bmp", ".br", ".css", ".eot", ".gif", ".gz", ".ico", ".jpeg", ".jpg", ".js", ".json", ".map", ".mjs", ".mov", ".mp3",
+    ".mp4", ".otf", ".pdf", ".png", ".rar", ".svg", ".tar", ".tgz", ".ttf", ".wasm", ".webm", ".webp", ".woff", ".woff2", ".zip",
 )
 METADATA_BASENAMES = ("ads.txt", "app-ads.txt", "browserconfig.xml", "humans.txt", "manifest.json", "opensearch.xml", "robots.txt", "security.txt", "site.webmanifest")
 
@@ -120,7 +120,7 @@ def text_like(df: DataFrame) -> Column:
 def asset_like(df: DataFrame) -> Column:
     is_asset = lambda m: reduce(lambda a, b: a | b, (m.startswith(p) for p in ASSET_MIME_PREFIXES), m.isin(*ASSET_MIMES))
     extension = urls.path_extension(urls.url_path(field(df, "url")))
-    return F.exists(_mimes(df), is_asset) | extension.isin(*(f".{e}" for e in ASSET_EXTENSIONS))
+    return F.exists(_mimes(df), is_asset) | extension.isin(*ASSET_EXTENSIONS)
 
 
 def site_metadata(df: DataFrame) -> Column:

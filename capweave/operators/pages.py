@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import base64
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, field as data_field
 
 from pyspark.sql import Column, DataFrame, Row
@@ -40,6 +41,15 @@ class CapturePage:
         return self.next_cursor is None
 
 
+@dataclass(frozen=True)
+class Parts:
+    """An index of several stores, whose native order is store by store: a page needs those from its position on, until it is full."""
+
+    n: int
+    rows: Callable[[int, int], DataFrame]
+    signature: list
+
+
 @dataclass(frozen=True)
 class Cursor:
     index: str
@@ -99,7 +109,7 @@ def at_or_after(columns: list[Column], position: list) -> Column:
 
 
 def page(df: DataFrame, url: str | None = None, *, match=None, from_=None, to=None, filters=None, registry=None, fields=None, closest=None, sort=None, limit=None, collapse=None, collapse_order=None,
-         page_size=None, cursor: str | None = None, filter_signature=None, packed: bool = True, index_signature=None, order: list[str] | None = None) -> CapturePage:
+         page_size=None, cursor: str | None = None, filter_signature=None, packed: bool = True, index_signature=None, order: list[str] | None = None, use_key_ranges: bool = False, parts: Parts | None = None) -> CapturePage:
     """One page. order: the columns of the keyset, together unique (default: the native order; a collapsed page goes by key)."""
     from capweave.plans.query import selected
 
@@ -113,15 +123,12 @@ def page(df: DataFrame, url: str | None = None, *, match=None, from_=None, to=No
     grouped = check_collapse(collapse, collapse_order)
     pattern = UrlPattern.of(url, match) if url is not None else None
     chosen = FilterSet(filters, registry)
-    query, index = query_digest(url, pattern, from_, to, chosen, filter_signature, grouped), index_digest(df, index_signature)
-    rows = selected(df, url, match, from_, to, chosen)
-    if grouped:
-        rows, keys = rows.withColumn("_pos0", F.coalesce(field(rows, "urlkey"), F.lit(""))), ["_pos0"]
-    else:
-        names = order or native_columns(df)
-        if not names:
-            raise UnsupportedPageQuery("pages need columns that order the rows")
-        rows, keys = rows.withColumns({f"_pos{i}": F.col(c) for i, c in enumerate(names)}), [f"_pos{i}" for i in range(len(names))]
+    given = index_signature if index_signature is not None or parts is None else parts.signature
+    query, index = query_digest(url, pattern, from_, to, chosen, filter_signature, grouped), index_digest(df, given)
+    names = ["urlkey"] if grouped else order or native_columns(df)
+    if not names:
+        raise UnsupportedPageQuery("pages need columns that order the rows")
+    keys, position = [f"_pos{i}" for i in range(len(names))], None
     if cursor is not None:
         had = Cursor.decode(cursor)
         if had.index != index:
@@ -130,11 +137,28 @@ def page(df: DataFrame, url: str | None = None, *, match=None, from_=None, to=No
             raise InvalidCursor("the cursor belongs to another query")
         if len(had.position) != len(keys):
             raise InvalidCursor("malformed cursor position")
-        rows = rows.where(at_or_after([F.col(k) for k in keys], had.position))
-    if grouped:
-        rows = latest_per_key(rows)
-    shown = project(rows.drop(*keys), fields).columns
-    out = rows.select(*keys, F.struct(*[field(rows, c).alias(c) if c not in rows.columns else F.col(c) for c in shown]).alias("_row"))
-    got = out.orderBy(*keys).limit(size + 1).collect()  # a page and one more
+        position = had.position
+
+    def found(df: DataFrame, most: int) -> list[Row]:
+        rows = selected(df, url, match, from_, to, chosen, use_key_ranges=use_key_ranges)
+        at = [F.coalesce(field(rows, "urlkey"), F.lit(""))] if grouped else [F.col(c) for c in names]
+        if grouped and position and position[0]:
+            rows = rows.where(field(rows, "urlkey") >= position[0])  # reaches the scan
+        rows = rows.withColumns(dict(zip(keys, at)))
+        if position is not None:
+            rows = rows.where(at_or_after([F.col(k) for k in keys], position))
+        if grouped:
+            rows = latest_per_key(rows)
+        shown = project(rows.drop(*keys), fields).columns
+        out = rows.select(*keys, F.struct(*[field(rows, c).alias(c) if c not in rows.columns else F.col(c) for c in shown]).alias("_row"))
+        return out.orderBy(*keys).limit(most).collect()
+
+    if parts is None or grouped or names[0] != "store_ord":
+        got = found(df, size + 1)  # a page and one more
+    else:
+        got, at, step = [], position[0] if position else 0, 1
+        while at < parts.n and len(got) <= size:
+            got += found(parts.rows(at, at + step), size + 1 - len(got))
+            at, step = at + step, 2 * step
     following = Cursor(index, query, [got[size][k] for k in keys]).encode() if len(got) > size else None
     return CapturePage(tuple(r["_row"] for r in got[:size]), following)

@@ -7,7 +7,7 @@ import re
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field as data_field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from capweave.functions import values
@@ -82,8 +82,7 @@ def preview(df: DataFrame, plan: Plan) -> DataFrame:
 
 def fingerprint(df: DataFrame) -> DataFrame:
     """Count and an order-free hash of the selected rows; equal for the same rows however they are dealt."""
-    h = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in sorted(set(df.columns) & set(FIELDS))])
-    return df.agg(F.count("*").alias("record_count"), F.coalesce(F.bit_xor(h), F.lit(0)).alias("xor"), F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0)).cast("string").alias("sum"))
+    return df.agg(*packed.marks(packed.row_hash(df)))
 
 
 def cdxj_line(df: DataFrame) -> Column:
@@ -99,10 +98,14 @@ def raw_bytes(df: DataFrame) -> Column:
 
 
 def write_cdxj(df: DataFrame, path: str, gzip: bool = True, force: bool = False) -> int:
-    """Text shards in native order; returns the records written."""
+    """Text shards in native order, read back and compared with the lines that went in; returns the records written."""
     rows = df.orderBy(*native_columns(df)) if native_columns(df) else df
-    rows.select(cdxj_line(df).alias("value")).write.mode("overwrite" if force else "errorifexists").option("compression", "gzip" if gzip else "none").text(path)
-    return df.sparkSession.read.text(path).count()
+    lines, h, seen = rows.select(cdxj_line(df).alias("value")), F.xxhash64("value"), Observation()
+    lines.observe(seen, *packed.marks(h)).write.mode("overwrite" if force else "errorifexists").option("compression", "gzip" if gzip else "none").text(path)
+    got = df.sparkSession.read.text(path).agg(*packed.marks(h)).first().asDict()
+    if got != seen.get and got != lines.agg(*packed.marks(h)).first().asDict():  # a part written twice after a loss counts twice
+        raise OSError(f"{path} does not hold the lines that were written")
+    return got["record_count"]
 
 
 def jsonl(df: DataFrame) -> DataFrame:
@@ -116,7 +119,10 @@ def text_lines(df: DataFrame) -> DataFrame:
 
 
 #: writers by format; a caller may add its own
-WRITERS: dict[str, Callable[..., object]] = {"packed": lambda df, path, force: packed.write_packed(df, path, force, check=False)["record_count"], "cdxj": lambda df, path, force: write_cdxj(df, path, True, force)}
+WRITERS: dict[str, Callable[..., object]] = {"packed": lambda df, path, force: packed.write_packed(df, path, force, check=False), "cdxj": lambda df, path, force: write_cdxj(df, path, True, force)}
+
+
+BUILT_IN = tuple(WRITERS)  # these verify what they write
 
 
 def output_name(source: str, fmt: str = "packed", beside: bool = False) -> str:
@@ -134,6 +140,7 @@ class Entry:
     output: str
     state: str = "pending"
     source_size: int = 0
+    source_modified: int = 0
     record_count: int | None = None
     fingerprint: dict | None = None
     error: str | None = None
@@ -158,15 +165,18 @@ class Ledger:
 
 
 def batch(spark: SparkSession, sources: list[str], output: str, plan: Plan, fmt: str = "packed", ledger: str | None = None, resume: bool = False, force: bool = False, delete_sources: bool = False,
-          strict: bool = True, check: bool = True, progress: Callable[[Entry], None] | None = None) -> list[Entry]:
+          strict: bool = True, check: bool = True, sorted_input: bool = False, progress: Callable[[Entry], None] | None = None) -> list[Entry]:
     """Derives each text shard into `output`, one output for each, resumable shard by shard.
 
-    A collapse is over all inputs together: winners are picked once and every shard keeps its own. An output is done when it
-    was written, read back and found to hold the planned rows; sources are deleted only when all outputs are.
+    A collapse is over all inputs together: winners are picked once, kept beside the outputs until all are done, and every shard
+    takes its own. An output is done when it was written, read back and found to hold the planned rows; sources are deleted only
+    when all outputs are. sorted_input: a shard whose keys are missing or fall is an error.
     """
     files = Files(spark)
     sources = sorted(set(sources))
-    entries = [Entry(s, f"{output.rstrip('/')}/{output_name(s, fmt)}", source_size=files.info(s).size if files.exists(s) else -1) for s in sources]
+    top = output.rstrip("/")
+    state = lambda s: (i.size, i.modified) if (i := files.info(s)) else (-1, 0)
+    entries = [Entry(s, f"{top}/{output_name(s, fmt, s.rpartition('/')[0] == top)}", "pending", *state(s)) for s in sources]
     outputs = [e.output for e in entries]
     if len(set(outputs)) < len(outputs) or set(outputs) & set(sources) or (ledger or "") in {*outputs, *sources}:
         raise ValueError("outputs collide with each other, with inputs or with the ledger")
@@ -180,27 +190,32 @@ def batch(spark: SparkSession, sources: list[str], output: str, plan: Plan, fmt:
         entries = [Entry(**e) for e in old["entries"]]
     book.save(signature, entries)
 
-    whole = read_text(spark, sources, strict=strict) if plan.collapse and all(files.exists(s) for s in sources) else None
-    winners = plan.select(whole) if whole is not None else None
-    for e in entries:
-        if e.state in ("complete", "delete_pending", "deleted"):
-            continue
-        if files.info(e.source).size != e.source_size:
+    open_ = [e for e in entries if e.state not in ("complete", "delete_pending", "deleted")]
+    selection = f"{top}/_selection-{signature[:16]}"
+    if plan.collapse and open_ and not files.exists(f"{selection}/_SUCCESS"):
+        plan.select(read_text(spark, sources, strict=strict)).repartition("file_ord").write.mode("overwrite").partitionBy("file_ord").parquet(selection)
+    winners = spark.read.parquet(selection) if plan.collapse and open_ else None
+    for e in open_:
+        if state(e.source) != (e.source_size, e.source_modified):
             raise CaptureError(f"{e.source} changed since the plan was made")
         e.state = "processing"
         book.save(signature, entries)
         try:
+            if sorted_input and (wrong := sorted_violations(read_text(spark, [e.source], strict=strict)).first()) is not None:
+                raise CaptureError(f"{e.source}:{wrong['line_number']}: {wrong['urlkey']!r} after {wrong['previous_urlkey']!r}")
             rows = winners.where(F.col("file_ord") == sources.index(e.source)) if winners is not None else plan.select(read_text(spark, [e.source], strict=strict))
-            if check and fmt == "packed":
-                packed.checked(rows)
-            expected = fingerprint(rows).first().asDict()
-            WRITERS[fmt](rows, e.output, force or old is not None)
-            got = fingerprint(spark.read.parquet(e.output)).first().asDict() if fmt == "packed" else {"record_count": spark.read.text(e.output).count()}
-            if got["record_count"] != expected["record_count"] or (fmt == "packed" and got != expected):
+            if fmt == "packed":
+                got = packed.write_packed(rows, e.output, force or old is not None, check=check)
+            else:
+                got = WRITERS[fmt](rows, e.output, force or old is not None)
+            if not isinstance(got, dict):
+                got = {"record_count": got if isinstance(got, int) else spark.read.text(e.output).count()}
+            if fmt not in BUILT_IN and got["record_count"] != rows.count():
                 raise CaptureError(f"{e.output} does not hold the planned rows")
-            if files.info(e.source).size != e.source_size:
+            if state(e.source) != (e.source_size, e.source_modified):
                 raise CaptureError(f"{e.source} changed while it was read")
-            e.state, e.record_count, e.fingerprint, e.error = "complete", expected["record_count"], expected, None
+            e.state, e.record_count, e.error = "complete", got["record_count"], None
+            e.fingerprint = {k: got[k] for k in ("record_count", "xor", "sum") if k in got}
         except Exception as error:
             e.state, e.error = "failed", str(error)[:500]
             book.save(signature, entries)
@@ -208,6 +223,8 @@ def batch(spark: SparkSession, sources: list[str], output: str, plan: Plan, fmt:
         book.save(signature, entries)
         if progress:
             progress(e)
+    if winners is not None:
+        files.delete(selection)
     for e in entries if delete_sources else []:  # only now: a collapse reads all sources for each output
         if e.state != "deleted":
             e.state = "delete_pending"

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capweave.functions import urls
+from capweave.schema import once
 
 
 def captures_view(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,9 +30,10 @@ def captures_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     filename = F.when(F.col("event_id") % 11 == 0, "custom/part.warc.gz").otherwise(F.concat(
         F.lit("crawl-data/CC-MAIN-2024-05/segments/"), F.col("user_id").cast("string"), F.lit("/"), folder,
         F.lit("/CC-MAIN-20240101000000-20240101030000-"), F.lpad((F.col("event_id") % 100).cast("string"), 5, "0"), F.lit(".warc.gz")))
-    v = e.withColumn("url", url).withColumn("status", status)
+    v = once(e, url=url, status=status)
+    v = once(v, urlkey=urls.surt(F.col("url")))
     return v.select(
-        urls.surt(F.col("url")).alias("urlkey"), F.date_format(F.date_trunc("hour", "ts"), "yyyyMMddHHmmss").alias("timestamp"), "url", mime.alias("mime"), detected.alias("mime_detected"), "status",
+        "urlkey", F.date_format(F.date_trunc("hour", "ts"), "yyyyMMddHHmmss").alias("timestamp"), "url", mime.alias("mime"), detected.alias("mime_detected"), "status",
         F.when(F.col("event_id") % 7 == 0, F.lit(None).cast("string")).otherwise(F.upper(F.md5(F.col("url").cast("binary")))).alias("digest"),
         (F.floor(F.col("value") * 100) + 1).cast("string").alias("length"), (F.col("event_id") * 1000).cast("string").alias("offset"), filename.alias("filename"),
         (F.col("event_id") % 4).cast("int").alias("file_ord"), F.floor(F.col("event_id") / 4).cast("long").alias("line_number"), F.col("event_id").alias("seq"),

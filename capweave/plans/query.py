@@ -28,7 +28,7 @@ def selected(df: DataFrame, url: str | None = None, match: str | None = None, fr
 
 
 def captures(df: DataFrame, url: str | None = None, *, match: str | None = None, from_=None, to=None, filters=None, registry=None, fields=None, closest=None, sort: str | None = None, limit=None,
-             collapse: str | None = None, collapse_order: str | None = None, page_size=None, cursor=None, filter_signature=None, use_key_ranges: bool = False, strict: bool = False, packed: bool = True):
+             collapse: str | None = None, collapse_order: str | None = None, page_size=None, cursor=None, filter_signature=None, use_key_ranges: bool = False, strict: bool = False, packed: bool = True, page_parts=None):
     """Rows of a capture relation, lazily; with page_size one page (see pages.page). All options are checked at once.
 
     packed=False says that the rows come from text, where collapse and pages were never offered.
@@ -37,7 +37,7 @@ def captures(df: DataFrame, url: str | None = None, *, match: str | None = None,
         from capweave.operators import pages
 
         return pages.page(df, url, match=match, from_=from_, to=to, filters=filters, registry=registry, fields=fields, closest=closest, sort=sort, limit=limit, collapse=collapse, collapse_order=collapse_order,
-                          page_size=page_size, cursor=cursor, filter_signature=filter_signature, packed=packed)
+                          page_size=page_size, cursor=cursor, filter_signature=filter_signature, packed=packed, use_key_ranges=use_key_ranges, parts=page_parts)
     if cursor is not None:
         raise ValueError("cursor requires page_size")
     if filter_signature is not None:

@@ -31,8 +31,14 @@ def register(name: str, sql: str | None, build: Callable[[DataFrame], DataFrame]
 
 _ROW = ["seq", "urlkey", "timestamp", "status"]
 _ROW_SQL = "seq, urlkey, timestamp, status"
-ASSET_EXT = "(" + ", ".join(f"'.{e}'" for e in filters.ASSET_EXTENSIONS) + ")"
-_in = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"
+# fixed values of the named filters, written out for the SQL
+ASSET_EXT = """('.7z', '.avi', '.avif', '.bmp', '.br', '.css', '.eot', '.gif', '.gz', '.ico', '.jpeg', '.jpg', '.js', '.json', '.map', '.mjs', '.mov', '.mp3',
+  '.mp4', '.otf', '.pdf', '.png', '.rar', '.svg', '.tar', '.tgz', '.ttf', '.wasm', '.webm', '.webp', '.woff', '.woff2', '.zip')"""
+ASSET_MIME = """('application/javascript', 'application/ecmascript', 'application/font-woff', 'application/font-woff2', 'application/pdf', 'application/vnd.ms-fontobject',
+  'application/x-font-ttf', 'application/x-javascript', 'image/svg+xml', 'text/css', 'text/javascript', 'text/ecmascript')"""
+TEXT_MIME = """('text/plain', 'text/html', 'text/xml', 'application/xml', 'application/xhtml+xml', 'application/rss+xml', 'application/atom+xml',
+  'application/rdf+xml', 'text/markdown', 'text/x-markdown', 'text/x-web-markdown')"""
+METADATA_BASE = "('ads.txt', 'app-ads.txt', 'browserconfig.xml', 'humans.txt', 'manifest.json', 'opensearch.xml', 'robots.txt', 'security.txt', 'site.webmanifest')"
 
 # --- keys and scalar functions
 c = F.col
@@ -76,14 +82,14 @@ register("digest_check", "SELECT seq, regexp_full_match(digest, '[A-Z2-7]{32}')
 
 # --- URL patterns
 _sel = lambda *a, **k: lambda v: query.captures(v, *a, fields=_ROW, **k)
-_FIRST = "(SELECT min(host) FROM captures WHERE host LIKE '%.example.com')"
+_FIRST = "(SELECT min(host) FROM captures WHERE host LIKE '%.example.com' AND bare_path = '/robots.txt')"
 
 
 def _on_first_host(make):
-    """A query whose pattern is made from the least host under example.com (one row, read first)."""
+    """A query whose pattern is made from the least host under example.com that has a robots.txt (one row, read first)."""
 
     def build(v: DataFrame) -> DataFrame:
-        first = v.select(urls.url_host(c("url")).alias("h")).where(c("h").endswith(".example.com")).agg(F.min("h")).first()[0]
+        first = v.select("url", urls.url_host(c("url")).alias("h")).where(c("h").endswith(".example.com") & c("url").endswith("/robots.txt")).agg(F.min("h")).first()[0]
         return make(v, first)
 
     return build
@@ -112,9 +118,9 @@ register("flt_missing_equals_empty", f"SELECT {_ROW_SQL} FROM captures WHERE coa
 register("flt_callable", f"SELECT {_ROW_SQL} FROM captures WHERE CAST(length AS BIGINT) > 5000 AND status = '200'", _sel(filters=[lambda df: c("length").cast("long") > 5000, "=status:200"]))
 
 # --- named filters
-_ASSET = f"(len(list_filter(mimes, lambda m: m IN {_in(filters.ASSET_MIMES)} OR " + " OR ".join(f"starts_with(m, '{p}')" for p in filters.ASSET_MIME_PREFIXES) + rf")) > 0 OR lower(regexp_extract(base, '^\.*[^.].*?(\.[^.]*)$', 1)) IN {ASSET_EXT})"
-_META = f"(lower(base) IN {_in(filters.METADATA_BASENAMES)} OR (contains(lower(base), 'sitemap') AND (regexp_matches(lower(base), '\\.xml(\\.gz)?$') OR len(list_filter(mimes, lambda m: m IN {_in(filters.XML_MIMES)} OR ends_with(m, '+xml'))) > 0)) OR starts_with(lower(raw_path), '/.well-known/'))"
-_TEXT = f"(len(list_filter(mimes, lambda m: m IN {_in(filters.TEXT_MIMES)})) > 0)"
+_ASSET = f"(len(list_filter(mimes, lambda m: m IN {ASSET_MIME} OR starts_with(m, 'audio/') OR starts_with(m, 'font/') OR starts_with(m, 'image/') OR starts_with(m, 'video/')))" + rf" > 0 OR lower(regexp_extract(base, '^\.*[^.].*?(\.[^.]*)$', 1)) IN {ASSET_EXT})"
+_META = f"(lower(base) IN {METADATA_BASE} OR (contains(lower(base), 'sitemap') AND (regexp_matches(lower(base), '\\.xml(\\.gz)?$') OR len(list_filter(mimes, lambda m: m IN ('text/xml', 'application/xml') OR ends_with(m, '+xml'))) > 0)) OR starts_with(lower(raw_path), '/.well-known/'))"
+_TEXT = f"(len(list_filter(mimes, lambda m: m IN {TEXT_MIME})) > 0)"
 _WARC = "contains(filename, '/warc/')"
 _EXTRACT = f"(status = '200' AND {_WARC} AND {_TEXT} AND NOT {_ASSET} AND NOT {_META})"
 _WITH_BASE = f"(SELECT *, {_BASE_SQL} AS base FROM {_RAW})"
@@ -125,7 +131,7 @@ register("named_expression", f"SELECT {_ROW_SQL} FROM {_WITH_BASE} WHERE {_TEXT}
 
 # --- ranges, order, limits, projection, counts
 register("ts_range", f"SELECT {_ROW_SQL} FROM captures WHERE timestamp >= '20240105000000' AND timestamp <= '20240120235959'", _sel(from_="20240105", to="20240120"))
-register("ts_range_month", f"SELECT {_ROW_SQL} FROM captures WHERE timestamp >= '20240201000000' AND timestamp <= '20240229235959'", _sel(from_="202402", to="202402"))
+register("ts_range_month", f"SELECT {_ROW_SQL} FROM captures WHERE status = '404' AND timestamp >= '20240101000000' AND timestamp <= '20240131235959'", _sel(from_="202401", to="202401", filters=["=status:404"]))
 register("sort_timestamp_topk", f"SELECT {_ROW_SQL} FROM captures ORDER BY timestamp, file_ord, line_number LIMIT 25", _sel(sort="timestamp", limit=25))
 register("sort_reverse_topk", f"SELECT {_ROW_SQL} FROM captures ORDER BY timestamp DESC, file_ord DESC, line_number DESC LIMIT 25", _sel(sort="reverse_timestamp", limit="25"))
 register(
@@ -135,8 +141,7 @@ register(
 register("native_limit", f"SELECT {_ROW_SQL} FROM captures WHERE status <> '200' ORDER BY file_ord, line_number LIMIT 30", _sel(filters=["!=status:200"], limit=30))
 register("limit_zero", f"SELECT {_ROW_SQL} FROM captures LIMIT 0", _sel(limit=0))
 register("project_fields", 'SELECT url, mime_detected, "offset", status FROM captures', lambda v: query.captures(v, fields=["url,mime-detected", "offset", "no-such-field", "status"]))
-register("row_json", "SELECT seq, CAST(to_json(struct_pack(u := 1)) AS VARCHAR) IS NOT NULL AS has_json, mime IS NOT NULL AS has_mime FROM captures",
-         lambda v: v.select("seq", F.get_json_object(F.to_json(F.struct("urlkey", "mime")), "$.urlkey").isNotNull().alias("has_json"), F.to_json(F.struct("urlkey", "mime")).contains('"mime":').alias("has_mime")))
+register("row_json", """SELECT '{"seq":' || seq || ',"status":"' || status || '"' || coalesce(',"mime":"' || mime || '"', '') || '}' AS value FROM captures""", lambda v: derive.jsonl(v.select("seq", "status", "mime")))
 register("text_lines", "SELECT concat_ws(' ', status, timestamp, url) AS value FROM captures", derive.text_lines)
 register("count_matches", "SELECT count(*) AS captures FROM captures WHERE host = 'example.com' OR host LIKE '%.example.com'", lambda v: query.count(v, "*.example.com", limit=3))
 register("count_collapsed", "SELECT count(DISTINCT urlkey) AS captures FROM captures WHERE status = '200'", lambda v: query.count(v, filters=["=status:200"], collapse="urlkey"))
@@ -213,7 +218,7 @@ register("cdxj_roundtrip", "SELECT urlkey, timestamp, url, mime, mime_detected,
 def _roundtrip(v: DataFrame) -> DataFrame:
     """Rows written as text lines and parsed again."""
     lines = v.select(derive.cdxj_line(v).alias("value"), F.lit("memory").alias("source_path"), "line_number", "file_ord")
-    return parse(lines).select("urlkey", "timestamp", "url", "mime", "mime_detected", "status", "digest", "length", "offset", "filename", "file_ord", "line_number")
+    return parse(lines, headers=False).select("urlkey", "timestamp", "url", "mime", "mime_detected", "status", "digest", "length", "offset", "filename", "file_ord", "line_number")
 
 
 register(

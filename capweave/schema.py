@@ -10,8 +10,8 @@ FIELDS = (
     "urlkey", "timestamp", "url", "mime", "mime_detected", "status", "digest", "redirect",
     "meta", "length", "offset", "filename", "charset", "languages", "truncated",
 )
-#: columns that place a row: which file, which line of it; together the native order
-NATIVE = ("file_ord", "line_number")
+#: columns that place a row: which packed store (only there), which file, which line of it; together the native order
+NATIVE = ("store_ord", "file_ord", "line_number")
 #: default columns of CSV output
 CSV_FIELDS = ("urlkey", "timestamp", "url", "status", "mime", "digest", "length", "offset", "filename")
 
@@ -78,5 +78,10 @@ def field(df: DataFrame, name: str) -> Column:
     return F.lit(None).cast("string")
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once a row, however often they are used later: no rule moves expressions through a generator."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def native_columns(df: DataFrame) -> list[str]:
     return [c for c in NATIVE if c in df.columns]

@@ -49,21 +49,25 @@ class Catalog:
         rows = json.loads(self.fetcher(self.list_url))
         return sorted((Crawl(r["id"], r.get("name", r["id"]), r.get("from"), r.get("to")) for r in rows), key=lambda c: c.id, reverse=True)
 
-    def index_paths(self, crawl: str, limit: int | None = None) -> list[str]:
-        """The crawl's index shards (the first `limit`), then its block index."""
+    def latest_crawl(self) -> Crawl:
+        return self.crawls()[0]
+
+    def index_paths(self, crawl: str, limit: int | None = None, zipnum: bool = True) -> list[str]:
+        """The crawl's index shards (the first `limit`), then its block index unless zipnum is false; without a shard, nothing."""
         if not re.fullmatch(r"CC-MAIN-\d{4}-\d{2}", crawl):
             raise ValueError(f"invalid crawl: {crawl!r}")
         raw = self.fetcher(f"{self.base_url}/crawl-data/{crawl}/cc-index.paths.gz")
         text = (gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw).decode()
         own = [p for p in (x.strip() for x in text.splitlines()) if re.search(rf"(^|/)collections/{crawl}/indexes/", p)]
         shards = sorted(p for p in own if re.search(r"/cdx-\d+\.gz$", p))
-        return shards[: None if limit is None else max(0, limit)] + [p for p in own if p.endswith("/cluster.idx")]
+        shards = shards[: None if limit is None else max(0, limit)]
+        return shards + [p for p in own if shards and zipnum and p.endswith("/cluster.idx")]
 
-    def fetch_index(self, crawl: str, folder: str, limit: int | None = None, force: bool = False, progress: Callable[[Downloaded], None] | None = None) -> list[Downloaded]:
+    def fetch_index(self, crawl: str, folder: str, limit: int | None = None, force: bool = False, zipnum: bool = True, progress: Callable[[Downloaded], None] | None = None) -> list[Downloaded]:
         """Downloads what is not there yet; a file appears only when it is whole."""
         os.makedirs(folder, exist_ok=True)
         out = []
-        for p in self.index_paths(crawl, limit):
+        for p in self.index_paths(crawl, limit, zipnum):
             target, url = os.path.join(folder, os.path.basename(p)), f"{self.base_url}/{p}"
             skipped = os.path.exists(target) and not force
             if not skipped:

@@ -37,6 +37,10 @@ class Files:
     def _info(self, status) -> FileInfo:
         return FileInfo(status.getPath().toString(), status.getLen(), status.getModificationTime(), status.isDirectory())
 
+    def uri(self, path: str) -> str:
+        """The path as a row's metadata name it, less its scheme."""
+        return re.sub(r"^[a-z0-9]+:/*", "/", self.jvm.org.apache.hadoop.fs.Path(path).toUri().toString())
+
     def glob(self, pattern: str) -> list[FileInfo]:
         fs, p = self._at(pattern)
         found = fs.globStatus(p)
@@ -70,14 +74,17 @@ class Files:
             stream.close()
 
     def write(self, path: str, text: str, force: bool = True) -> None:
-        """The whole text or nothing: written beside its place and renamed."""
+        self.write_bytes(path, text.encode(), force)
+
+    def write_bytes(self, path: str, data: bytes, force: bool = True) -> None:
+        """The whole or nothing: written beside its place and renamed."""
         fs, p = self._at(path)
         if fs.exists(p) and not force:
             raise FileExistsError(path)
         temp = self.jvm.org.apache.hadoop.fs.Path(f"{path}.tmp")
         out = fs.create(temp, True)
         try:
-            out.write(bytearray(text.encode()))
+            out.write(bytearray(data))
         finally:
             out.close()
         self.rename(f"{path}.tmp", path, force)
@@ -97,6 +104,18 @@ class Files:
         return fs.delete(p, True)
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share (spark.checkpoint.dir); one of our own only on a single machine."""
+    set_to = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not set_to and (got := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
+        set_to = got.get()
+    if not set_to:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        set_to = "/tmp/capweave-shared"
+    return set_to
+
+
 def _is_packed_dir(files: Files, path: str) -> bool:
     return any(PACKED_NAME.search(f.name) and f.name.startswith("part-") for f in files.children(path) if not f.is_dir)
 

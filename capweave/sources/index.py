@@ -34,15 +34,23 @@ class Index:
 
     def rows(self, pattern: UrlPattern | None = None) -> DataFrame:
         if self.kind == "packed":
-            return packed.read_packed(self.spark, self.paths, pattern if self.trust_keys else None)
+            return self.stores(pattern, 0, len(self.paths))
         whole = lambda paths: read_text(self.spark, paths, self.parser, self.strict, self.line_numbers)
         if self.trust_keys and pattern is not None and self.parser is None:
             return zipnum.pruned(self.spark, self.paths, pattern, whole)
         return whole(self.paths)
 
+    def stores(self, pattern: UrlPattern | None, start: int, end: int) -> DataFrame:
+        return packed.read_packed(self.spark, self.paths[start:end], pattern if self.trust_keys else None, start)
+
     def captures(self, url: str | None = None, **options):
         pattern = UrlPattern.of(url, options.get("match")) if url is not None else None
+        if self.kind == "packed" and options.get("page_size") is not None:
+            from capweave.operators import pages
+
+            options["page_parts"] = pages.Parts(len(self.paths), lambda a, b: self.stores(pattern, a, b), packed.signature(self.spark, self.paths))
         return query.captures(self.rows(pattern), url, use_key_ranges=self.trust_keys, packed=self.kind == "packed", **options)
 
     def count(self, url: str | None = None, **options) -> DataFrame:
-        return query.count(self.rows(), url, **options)
+        pattern = UrlPattern.of(url, options.get("match")) if url is not None else None
+        return query.count(self.rows(pattern), url, use_key_ranges=self.trust_keys, **options)

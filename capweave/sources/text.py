@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from capweave.schema import FIELDS
+from capweave.schema import FIELDS, once
+from capweave.sources.files import Files
 
 #: fixed values: the letters of a CDX header, and the order without one
 FIELD_CODES = {
@@ -17,24 +18,32 @@ DEFAULT_ORDER = ("urlkey", "timestamp", "url", "mime", "status", "digest", "redi
 _KNOWN = {f: sorted({f, f.replace("_", "-")}) for f in FIELDS}
 
 
-def _stripped(c: Column) -> Column:
-    return F.regexp_replace(c, r"^[\s\x00]+|[\s\x00]+$", "")
+#: what a line is stripped of: white space and NUL
+BLANK = " \t\n\x0b\x0c\r\x00"
+
+
+def at_path(df: DataFrame, names: list[tuple[str, int]], out: str) -> DataFrame:
+    """df with the number of each row's file (column source_path) out of a list of the driver's, one row a file."""
+    listed = df.sparkSession.createDataFrame(names, f"_path string, {out} int")
+    key = F.regexp_replace("source_path", r"^[a-z0-9]+:/*", "/")
+    return df.join(F.broadcast(listed), key == F.col("_path"), "left").drop("_path")
 
 
 def read_lines(spark: SparkSession, paths: list[str], line_numbers: bool = True) -> DataFrame:
     """(value, source_path, file_ord, line_number) of text or gzip files.
 
-    A line's number is its place in its split plus the lines of the file's splits before it; the counts of splits are a small
-    table, so no line moves. Without line numbers the column holds a number that only orders lines.
+    A line's number is its place in its split plus the lines of the file's splits before it. Where no file can be split and each
+    has a partition of its own, the place alone is the number; else the counts of splits, a small table, are read first. No line
+    moves. Without line numbers the column holds a number that only orders lines.
     """
     raw = spark.read.text(paths).select(
         "value", F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
-    names = spark.createDataFrame([(i, p) for i, p in enumerate(sorted(paths))], "file_ord int, _path string")
-    tail = lambda c: F.regexp_replace(c, r"^[a-z0-9]+:/*", "/")
-    names = F.broadcast(names.withColumn("_path", tail(F.col("_path"))))  # one row a file that the driver has listed
-    rows = raw.join(names, tail(F.col("source_path")) == F.col("_path"), "left").drop("_path")
+    files = Files(spark)
+    rows = at_path(raw, [(files.uri(p), i) for i, p in enumerate(sorted(paths))], "file_ord")
     if not line_numbers:
         return rows.withColumn("line_number", F.col("_id") + 1).drop("_id", "_block")
+    if all(p.lower().endswith(".gz") for p in paths) and raw.rdd.getNumPartitions() == len(paths):
+        return rows.withColumn("line_number", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_id", "_block")
     blocks = raw.groupBy("source_path", "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
     before = Window.partitionBy("source_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
@@ -42,34 +51,36 @@ def read_lines(spark: SparkSession, paths: list[str], line_numbers: bool = True)
     return j.withColumn("line_number", F.col("_id") - F.col("_first") + F.col("_before") + 1).drop("_id", "_block", "_first", "_before")
 
 
-def parse(lines: DataFrame, strict: bool = True) -> DataFrame:
-    """Lines to captures: CDXJ, JSON alone, or columns by the file's header. strict: a bad row is an error, else `corrupt` holds it."""
-    line = _stripped(F.col("value"))
-    rows = lines.withColumn("_line", line).where((F.col("_line") != "") & ~F.col("_line").startswith("#"))
-    is_header = F.col("_line").rlike(r"^CDX\s+\S")
-    codes = F.split(F.regexp_replace("_line", r"^CDX\s+", ""), r"\s+", -1)
-    table = F.create_map(*[F.lit(x) for kv in FIELD_CODES.items() for x in kv])
-    headers = rows.where(is_header).select("source_path", F.struct("line_number", F.transform(codes, lambda c: F.coalesce(F.try_element_at(table, c), c)).alias("fields")).alias("h"))
-    headers = headers.groupBy("source_path").agg(F.sort_array(F.collect_list("h")).alias("_headers"))  # headers are few
-    rows = rows.where(~is_header).join(F.broadcast(headers), "source_path", "left")
-    past = F.filter(F.coalesce("_headers", F.array().cast("array<struct<line_number:bigint,fields:array<string>>>")), lambda h: h["line_number"] < F.col("line_number"))
-    fields = F.coalesce(F.try_element_at(past, F.lit(-1))["fields"], F.array(*map(F.lit, DEFAULT_ORDER)))
+def parse(lines: DataFrame, strict: bool = True, headers: bool = True) -> DataFrame:
+    """Lines to captures: CDXJ, JSON alone, or columns by the file's header. strict: a bad row is an error, else `corrupt` holds it.
+
+    headers: whether lines may be headers; they are found first, by a scan of their own. Each line is split and its JSON read once.
+    """
+    rows = once(lines, _line=F.btrim("value", F.lit(BLANK))).where((F.col("_line") != "") & ~F.col("_line").startswith("#"))
+    fields = F.array(*map(F.lit, DEFAULT_ORDER))
+    if headers:
+        codes = F.split(F.regexp_replace(F.btrim("value", F.lit(BLANK)), r"^CDX\s+", ""), r"\s+", -1)
+        table = F.create_map(*[F.lit(x) for kv in FIELD_CODES.items() for x in kv])
+        found = lines.where(F.col("value").rlike(r"^[\s\x00]*CDX\s+[^\s\x00]"))
+        found = found.select("source_path", F.struct("line_number", F.transform(codes, lambda c: F.coalesce(F.try_element_at(table, c), c)).alias("fields")).alias("h"))
+        found = found.groupBy("source_path").agg(F.sort_array(F.collect_list("h")).alias("_headers"))  # headers are few
+        rows = rows.where(~F.col("_line").rlike(r"^CDX\s+\S")).join(F.broadcast(found), "source_path", "left")
+        past = F.filter("_headers", lambda h: h["line_number"] < F.col("line_number"))
+        fields = F.when(F.col("_headers").isNull(), fields).otherwise(F.coalesce(F.try_element_at(past, F.lit(-1))["fields"], fields))
 
     whole = F.col("_line").startswith("{")
-    cdxj = F.col("_line").rlike(r"^\S+\s+\S+\s+\{")
-    parts = F.split("_line", r"\s+", 3)
-    body = F.when(whole, F.col("_line")).when(cdxj, F.get(parts, F.lit(2)))
-    json = F.from_json(body, "map<string,string>")
-    texts = F.split("_line", r"\s+", F.size("_fields"))
-    rows = rows.withColumn("_fields", fields).withColumn("_json", json).withColumn("_values", F.when(body.isNull(), texts))
-    rows = rows.withColumn("_map", F.map_from_arrays(F.slice("_fields", 1, F.size("_values")), "_values"))
-    bad = (body.isNotNull() & F.col("_json").isNull()) | (body.isNull() & (F.size("_values") < F.least(F.lit(2), F.size("_fields"))))
-    data = F.coalesce("_json", "_map")
-    rows = rows.withColumn("_data", data).withColumn("_bad", F.coalesce(bad, F.lit(False)))
+    rows = once(rows, _parts=F.when(~whole, F.split("_line", r"\s+", 3)), _fields=fields)
+    cdxj = F.coalesce((F.size("_parts") == 3) & F.get("_parts", F.lit(2)).startswith("{"), F.lit(False))
+    body = F.when(whole, F.col("_line")).when(cdxj, F.get("_parts", F.lit(2)))
+    texts = F.when(~whole & ~cdxj, F.split("_line", r"\s+", F.size("_fields")))
+    rows = once(rows, _json=F.from_json(body, "map<string,string>"), _values=texts)
+    bad = F.coalesce(F.when(F.col("_values").isNull(), F.col("_json").isNull()).otherwise(F.size("_values") < F.least(F.lit(2), F.size("_fields"))), F.lit(False))
+    data = F.coalesce("_json", F.map_from_arrays(F.slice("_fields", 1, F.size("_values")), "_values"))
     if strict:
-        rows = rows.withColumn("_data", F.when(F.col("_bad"), F.raise_error(F.concat(F.lit("can't read row: "), F.col("_line"))).cast("map<string,string>")).otherwise(F.col("_data")))
+        data = F.when(bad, F.raise_error(F.concat(F.lit("can't read row: "), F.col("_line"))).cast("map<string,string>")).otherwise(data)
+    rows = once(rows, _data=data, _bad=bad)
     value = lambda f: F.coalesce(*[F.try_element_at("_data", F.lit(n)) for n in _KNOWN[f]])
-    prefix = {"urlkey": F.when(cdxj, F.get(parts, F.lit(0))), "timestamp": F.when(cdxj, F.get(parts, F.lit(1)))}
+    prefix = {"urlkey": F.when(cdxj, F.get("_parts", F.lit(0))), "timestamp": F.when(cdxj, F.get("_parts", F.lit(1)))}
     known = [n for names in _KNOWN.values() for n in names]
     out = [(F.coalesce(value(f), prefix[f]) if f in prefix else value(f)).alias(f) for f in FIELDS]
     extras = F.map_filter("_data", lambda k, v: ~k.isin(*known)).alias("extras")

@@ -28,7 +28,7 @@ class Block:
 
 
 def parse_block(line: str) -> Block | None:
-    cells = line.rstrip("\n").split("\t")
+    cells = line.rstrip("\r\n").split("\t")
     if len(cells) < 4 or not (cells[2].isdigit() and cells[3].isdigit()) or (len(cells) > 4 and not re.fullmatch(r"[0-9]+", cells[4])):
         return None
     return Block(cells[0], cells[1], int(cells[2]), int(cells[3]), int(cells[4]) if len(cells) > 4 else None)
@@ -40,7 +40,7 @@ class BlockIndex:
     def __init__(self, files: Files, folder: str, shards: list[str]) -> None:
         self.folder = folder
         self.shards = {p.rpartition("/")[2]: p for p in shards}
-        self.blocks = [b for line in files.read(f"{folder}/cluster.idx").splitlines() if (b := parse_block(line))]
+        self.blocks = [b for line in files.read(f"{folder}/cluster.idx").split("\n") if (b := parse_block(line))]
         self.keys = [b.key for b in self.blocks]
         self.covered = {name for name, path in self.shards.items() if self._covers(name, files.info(path).size)}
 
@@ -90,7 +90,8 @@ def read_blocks(spark: SparkSession, blocks: list[tuple[str, int, Block]], stric
                     z = zlib.decompressobj(31)
                     out += z.decompress(data)
                     data = z.unused_data
-                lines = out.decode("utf-8", "replace").splitlines()
+                # lines end at line feeds alone: JSON may hold other separators
+                lines = [x.decode("utf-8", "replace") for x in out.removesuffix(b"\n").split(b"\n")] if out else []
                 n = len(lines)
                 yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string()), pa.array([path] * n, pa.string()), pa.array([ord_] * n, pa.int32()), pa.array(range(base + 1, base + n + 1), pa.int64())], names=["value", "source_path", "file_ord", "line_number"])
 

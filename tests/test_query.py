@@ -214,8 +214,9 @@ def test_requests(spark):
 def test_allowlist(spark, monkeypatch):
     df = relation(spark, [row("https://example.com/docs/a"), row("https://www.blog.example.com/"), row("http://example.org/x?y"), {"urlkey": "com,example)/docs/b?q", "timestamp": "2024"}, row("http://xexample.com/")])
     pick = lambda *lines: [r["line_number"] for r in allowlist.allowed(df, allowlist.parse_lines(lines)).orderBy("line_number").collect()]
-    for limit in (100_000, 0):  # both ways of joining
+    for limit, single in ((100_000, 32), (100_000, 0), (0, 0)):  # rule by rule, and both ways of joining
         monkeypatch.setattr(allowlist, "BROADCAST_RULES", limit)
+        monkeypatch.setattr(allowlist, "SINGLE_RULES", single)
         assert pick("example.com/docs") == [1, 4] and pick("*.example.com") == [1, 2, 4] and pick("example.org") == [3]
         assert pick("# none", "") == [] and pick("https://WWW.example.com", "*.example.com/docs") == [1, 4]
     with pytest.raises(ValueError, match="rules:2: invalid"):

@@ -14,7 +14,7 @@ from capweave.operators.filters import named
 from capweave.operators.match import UrlPattern
 from capweave.plans import derive
 from capweave.plans.derive import Plan
-from capweave.schema import EncodeError, UnsupportedCollapse
+from capweave.schema import CaptureError, EncodeError, UnsupportedCollapse
 from capweave.sources import packed, zipnum
 from capweave.sources.catalog import Catalog
 from capweave.sources.files import Files, expand
@@ -142,6 +142,55 @@ def test_packed_store_equals_text(spark, tmp_path):
     assert len(page) == 4 and len(store.captures(page_size=20, cursor=page.next_cursor)) == 11
 
 
+def test_pages_over_stores_concatenate_to_the_query(spark, tmp_path):
+    """Three stores whose rows have equal places in their files; one of them is empty after the filter."""
+    want = []
+    for n in range(3):
+        own = [line(f"com,h{(i * 7) % 5})/{n}-{i}", f"202401{1 + i:02d}000000", status="404" if n == 1 else "200") for i in range(5)]
+        a = write(tmp_path / f"cdx-0000{n}.gz", *own, compress=True)
+        packed.write_packed(read_text(spark, [a]), str(tmp_path / "store" / f"cdx-0000{n}.parquet"), files=2)
+        want += [f"com,h{(i * 7) % 5})/{n}-{i}" for i in range(5)]
+    index, keys = Index.open(spark, str(tmp_path / "store")), lambda rows: [r["urlkey"] for r in rows]
+    assert keys(index.captures(limit=15).collect()) == want and keys(index.captures(limit=7, sort=None).collect()) == want[:7]
+
+    def walk(**options):
+        out, cursor = [], None
+        while True:
+            page = index.captures(cursor=cursor, **options)
+            out.append(keys(page))
+            cursor = page.next_cursor
+            if cursor is None:
+                return out
+
+    assert walk(page_size=4) == [want[:4], want[4:8], want[8:12], want[12:]]
+    assert sum(walk(page_size=3, filters=["=status:200"]), []) == want[:5] + want[10:]
+    collapsed = sum(walk(page_size=6, collapse="urlkey"), [])
+    assert collapsed == sorted(set(want))
+    # a page from the last store on asks for no other
+    asked = []
+    last = index.captures(page_size=11).next_cursor
+    real, index.stores = index.stores, lambda p, a, b: (asked.append((a, b)) if a else None, real(p, a, b))[1]
+    assert keys(index.captures(page_size=9, cursor=last)) == want[11:] and {a for a, _ in asked} == {2}
+
+
+def test_lines_end_at_line_feeds_alone(spark, tmp_path):
+    """JSON may hold other separators; a block index gives the same rows as the whole file."""
+    rows = [line("com,a)/\u2028x".replace("\u2028", ""), extra="p\u2028q\x85r") for _ in range(2)]
+    rows = [r.encode().decode("unicode_escape") for r in rows]
+    member = gzip.compress("".join(f"{r}\n" for r in rows).encode())
+    (tmp_path / "cdx-00000.gz").write_bytes(member)
+    (tmp_path / "cluster.idx").write_text(f"com,a)/ 2024\tcdx-00000.gz\t0\t{len(member)}\t1\n")
+    for trust in (True, False):
+        got = Index.open(spark, str(tmp_path), trust_keys=trust).captures("*.a.com").collect()
+        assert [r["extras"] for r in got] == [{"extra": "p\u2028q\x85r"}] * 2, trust
+
+
+def test_a_line_is_split_once(spark, tmp_path):
+    a = write(tmp_path / "a.cdxj", line("com,a)/"))
+    text = read_text(spark, [a])._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("from_json(") == 1 and text.count("split(_line") <= 2, text
+
+
 def test_manifest_prunes_files(spark, tmp_path):
     a = write(tmp_path / "a.cdxj", *(line(f"com,{c * 3})/") for c in "abcdefghijkl"))
     out = str(tmp_path / "p.parquet")
@@ -191,7 +240,9 @@ def test_batch_resumes_and_deletes(spark, tmp_path):
         derive.batch(spark, [a, b], out, plan)
     with pytest.raises(ValueError, match="another plan"):
         derive.batch(spark, [a, b], out, Plan(), resume=True)
+    assert any(n.startswith("_selection-") for n in os.listdir(out))  # the winners, picked once
     done = derive.batch(spark, [a, b], out, plan, resume=True, check=False, delete_sources=True)
+    assert not any(n.startswith("_selection-") for n in os.listdir(out))
     assert [(e.state, e.record_count) for e in done] == [("deleted", 1), ("deleted", 2)] and not os.path.exists(a)
     assert sorted(r["urlkey"] for r in spark.read.parquet(*[e.output for e in done]).collect()) == ["com,a)/", "com,b)/", "com,c)/"]
     again = derive.batch(spark, [a, b], out, plan, resume=True, check=False, delete_sources=True)
@@ -200,6 +251,14 @@ def test_batch_resumes_and_deletes(spark, tmp_path):
         derive.batch(spark, [str(tmp_path / "x" / "cdx-1.gz"), str(tmp_path / "y" / "cdx-1.gz")], out, plan)
 
 
+def test_sorted_input_can_be_asked_for(spark, tmp_path):
+    a = write(tmp_path / "cdx-00000.gz", line("com,b)/"), line("com,a)/"), compress=True)
+    with pytest.raises(CaptureError, match=":2: "):
+        derive.batch(spark, [a], str(tmp_path / "out"), Plan(), sorted_input=True, check=False)
+    done = derive.batch(spark, [a], str(tmp_path / "out"), Plan(), fmt="cdxj", resume=False, ledger=str(tmp_path / "other.json"))
+    assert done[0].record_count == 2 and derive.batch(spark, [a], str(tmp_path), Plan(), fmt="cdxj", ledger=str(tmp_path / "third.json"))[0].output.endswith("cdx-00000.filtered.gz")
+
+
 def test_text_output_keeps_raw_lines(spark, tmp_path):
     raw = line("com,a)/1", odd="kept")
     a = write(tmp_path / "a.cdxj", raw, line("com,b)/"))
@@ -223,6 +282,7 @@ def test_catalogue(tmp_path):
     c = Catalog(lambda url: answers["paths" if url.endswith("paths.gz") else "list"], save)
     assert [x.id for x in c.crawls()] == ["CC-MAIN-2024-05", "CC-MAIN-2023-01"]
     assert [p.rpartition("/")[2] for p in c.index_paths("CC-MAIN-2024-05", 1)] == ["cdx-00000.gz", "cluster.idx"]
+    assert c.index_paths("CC-MAIN-2024-05", 0) == [] and len(c.index_paths("CC-MAIN-2024-05", zipnum=False)) == 2 and c.latest_crawl().id == "CC-MAIN-2024-05"
     first = c.fetch_index("CC-MAIN-2024-05", str(tmp_path))
     second = c.fetch_index("CC-MAIN-2024-05", str(tmp_path))
     assert [d.skipped for d in first + second] == [False] * 3 + [True] * 3 and len(fetched) == 3
