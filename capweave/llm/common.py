@@ -9,7 +9,7 @@ import zlib
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-LOCAL_CHECKPOINT_DIR = "/tmp/capweave-checkpoints"
+LOCAL_CHECKPOINT_DIR = "/tmp/capweave-checkpoints"  # of a single machine, in tests
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,10 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
+    """The folder that driver and executors share; one of our own only on a single machine where none is set."""
     set_to = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not set_to:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not got.isDefined() and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         set_to = got.get() if got.isDefined() else LOCAL_CHECKPOINT_DIR
     return set_to
 
@@ -61,12 +63,12 @@ def crc_of_value(doc_id: int) -> int:
     return zlib.crc32(str(doc_id).encode())
 
 
-def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): every node that has an edge and the smallest node it reaches.
 
     edges: columns u, v of one orderable type; self loops and repeats are harmless. Alternates the
     large-star and small-star steps until a round changes nothing; each round is a min per node
-    (combined before the shuffle) and an equi-join, so a hub's neighbours never meet in one task.
+    (combined before the shuffle) and an equi-join, whose hubs adaptive execution splits.
     """
     e = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
 
@@ -85,24 +87,16 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         return r[0], r[1]
 
     was = mark(e)
-    for _ in range(max_rounds):
+    while True:
         e = cut(star(star(e, True), False))
         now = mark(e)
         if now == was:
             break
         was = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
 
 
-def running(df: DataFrame, part: list[str], order: list[str], value: str, out: str) -> DataFrame:
-    """Adds the running sum of value within part, rows in the given total order."""
-    w = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(out, F.sum(value).over(w))
-
-
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, seed: int, key: str = "doc_id", text: str = "text", folds: int = 5) -> tuple[DataFrame, float]:
     """((label 0/1, text) of at most per_class training rows of each label, share of label 1 among all training rows).
 

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from capweave.llm.common import cut, stored, table
+from capweave.llm.common import cut, small, stored, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -64,7 +64,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3
     own = F.col(row) if row else F.lit(None).cast("string")
     sized = stored(docs.select(F.col(key).alias("_key"), F.col(source).alias("_source"), word_count(F.col(text)).alias("size"), own.alias("_row")))
     targets = source_targets(sized, weights, max_epochs)
-    # hash order of the documents of a source, cut in slices by its leading bits
+    # hash order of the documents of a source, cut in slices by ten of its bits
     keyed = sized.withColumn("_h", F.xxhash64(F.lit(seed), F.col("_key"), F.col("size"), F.col("_row"))).withColumn("_slice", F.pmod(F.shiftright("_h", 40), F.lit(SLICES)))
     per_slice = keyed.groupBy("_source", "_slice").agg(F.sum("size").alias("_n"))
     before = Window.partitionBy("_source").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -109,17 +109,23 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3
 def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The documents that the mix takes, all their columns plus copies, ranged by first finish time.
 
-    Needs a unique key; rows whose key is null get one of their own, from their text, source and a number among equals.
+    Rows whose key is null or repeated get one of their own, from their key, text, source and a number among equals.
     """
-    same = [F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")), F.col(source)]
+    again = stored(docs.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_again")).agg(F.count("*").alias("_c")).where("_c > 1").select("_again"))
+    odd = docs.where(F.col(key).isNull())
+    if not again.isEmpty():
+        odd = odd.unionByName(docs.join(small(again), F.col(key) == F.col("_again"), "left_semi"))
+    same = [F.col(key), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")), F.col(source)]
     number = F.row_number().over(Window.partitionBy(*same).orderBy(*same))
+    known = [F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("")) for c in same]
     # stored, so that a row has the same number in the mix and in the join
-    unnamed = stored(docs.where(F.col(key).isNull()).withColumn("_row", F.concat_ws("|", same[0], F.coalesce(F.concat(F.lit("="), same[1]), F.lit("")), number.cast("string"))))
-    rows = docs.where(F.col(key).isNotNull()).withColumn("_row", F.lit(None).cast("string")).unionByName(unnamed)
+    odd = stored(odd.withColumn("_row", F.concat_ws("|", *known, number.cast("string"))))
+    plain = docs.where(F.col(key).isNotNull()).join(small(again), F.col(key) == F.col("_again"), "left_anti")
+    rows = plain.withColumn("_row", F.lit(None).cast("string")).unionByName(odd)
     decided = stored(mix(rows, key=key, text=text, source=source, row="_row", **options).where("copies > 0"))
     chosen = decided.select(F.col(key).alias("_k"), F.col("_row").alias("_r"), F.col("copies").alias("_copies"), F.col("first_finish").alias("_first"))
-    named = docs.join(chosen.where("_k is not null").drop("_r"), F.col(key) == F.col("_k")).drop("_k")
-    out = named.unionByName(unnamed.join(chosen.where("_k is null"), F.col("_row") == F.col("_r")).drop("_row", "_r", "_k"))
+    named = plain.join(chosen.where("_r is null").drop("_r"), F.col(key) == F.col("_k")).drop("_k")
+    out = named.unionByName(odd.join(chosen.where("_r is not null"), F.col("_row") == F.col("_r")).drop("_row", "_r", "_k"))
     return out.repartitionByRange("_first").sortWithinPartitions("_first", key).withColumnRenamed("_copies", "mix_copies").withColumnRenamed("_first", "mix_finish")
 
 

@@ -153,6 +153,16 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, width)])).view(np.int64)
 
 
+#: of a set's parity bits; rounds of linking a key's groups, as long as its pairs are over so many times its holders
+BITS, TURNS, DENSE = 512, 2, 8
+
+
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """BITS bits as longs: each says whether an odd number of the hashes falls on it. Two sets differ in at least as many hashes as bits."""
+    odd = np.bincount(hashes.view(np.uint64) % np.uint64(BITS), minlength=BITS) & 1 if len(hashes) else np.zeros(BITS, np.int64)
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def common_shingles(rows: DataFrame, width: int, docs: int = 8192, most: int = 200_000) -> np.ndarray:
     """Shingles that two of about `docs` sampled documents hold, rarest first: they only set an order, so any sample gives the same pairs."""
     n = rows.count()
@@ -175,8 +185,10 @@ def close_pairs(docs: DataFrame, similarity: float = 0.8, width: int = 5, key: s
     that the similarity allows, are the join keys of a text of any length. Pairs whose sizes and places can't reach the
     similarity go (a shared key's places i, j bound what is left to share), and the rest is verified by the exact similarity.
 
-    Work: equal shingle sets are one class. Then each document meets the one next to it in size under each key, so a crowd of copies
-    falls together in linear size; what is still apart under a key meets in full.
+    Work: equal shingle sets are one class. Then each document meets the one next to it in size under each key. While the documents of a
+    key that are not yet in one group would make far more pairs than they are, one of each group, drawn anew, meets that of the
+    largest group and those of the three next in size: a crowd of near copies falls together in linear size. What is still apart under a key meets in full. Before sets are
+    fetched for a pair, its parity bits must allow the similarity: they differ in no more places than the sets do.
     """
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     kind = rows.schema[0].dataType
@@ -189,7 +201,7 @@ def close_pairs(docs: DataFrame, similarity: float = 0.8, width: int = 5, key: s
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
-                sigs, sizes, keys = [], [], []
+                sigs, sizes, keys, bits = [], [], [], []
                 for t in part.column(1).to_pylist():
                     s = shingle_set(t, width)
                     rank = np.zeros(len(s), np.int64)
@@ -198,10 +210,11 @@ def close_pairs(docs: DataFrame, similarity: float = 0.8, width: int = 5, key: s
                         rank = np.where(held[place] == s, at[place] + 1, 0)
                     sigs.append(xxhash.xxh3_128_digest(s.tobytes()))
                     sizes.append(len(s))
+                    bits.append(parity(s))
                     keys.append(s[np.argsort(rank, kind="stable")][: len(s) - least_common(len(s), similarity) + 1])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["_key", "sig", "n", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], names=["_key", "sig", "n", "keys", "bits"])
 
-    keyed = stored(rows.mapInArrow(block, T.StructType([T.StructField("_key", kind), T.StructField("sig", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("keys", T.ArrayType(T.LongType()))])))
+    keyed = stored(rows.mapInArrow(block, T.StructType([T.StructField("_key", kind), T.StructField("sig", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("bits", T.ArrayType(T.LongType()))])))
     classes = keyed.groupBy("sig").agg(F.min("_key").alias("v"), F.count("*").alias("c")).where("c > 1").select("sig", "v")
     same = stored(keyed.select("sig", F.col("_key").alias("u")).join(classes, "sig").where("u <> v").select("u", "v").distinct())
     once = keyed.join(small(same.select(F.col("u").alias("_copy")).distinct()), F.col("_key") == F.col("_copy"), "left_anti")
@@ -215,6 +228,15 @@ def close_pairs(docs: DataFrame, similarity: float = 0.8, width: int = 5, key: s
         """The first key that a pair shares stands at i and j: the shingles before it, and the difference of those after it, are not shared."""
         return (1 + similarity) * (i + j + F.abs((n - i) - (m - j))) <= (1 - similarity) * (n + m) + 1e-6
 
+    def differ(n, m, a, b):
+        """The bits in which two sets differ, of which the similarity allows no more than a share of their sizes."""
+        bits = sum(F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(BITS // 64))
+        return bits * (1 + similarity) <= (1 - similarity) * (n + m) + 1e-6
+
+    def hopeful(pairs: DataFrame) -> DataFrame:
+        x, y = (keyed.select(F.col("_key").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}")) for c in "uv")
+        return stored(pairs.join(x, "u").join(y, "v").where(differ(F.col("nu"), F.col("nv"), F.col("bitsu"), F.col("bitsv"))).select("u", "v"))
+
     def shingle(batches):
         for b in batches:
             for i in range(0, b.num_rows, 256):
@@ -230,29 +252,56 @@ def close_pairs(docs: DataFrame, similarity: float = 0.8, width: int = 5, key: s
         common = F.size(F.array_intersect("a", "b"))
         return stored(both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v"))
 
-    met = places.where(F.col("prev").isNotNull() & (F.col("_key") != F.col("prev._key"))).where(possible(F.col("n"), F.col("pos"), F.col("prev.n"), F.col("prev.pos")))
-    met = stored(met.select(F.greatest("_key", "prev._key").alias("u"), F.least("_key", "prev._key").alias("v")).distinct())
-    linked = verified(met)
-    roots = stored(components(linked)).select("node", "root")
-    apart = places.drop("prev").join(small(roots), F.col("_key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "_key")).drop("node")
-    mixed = apart.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("k")
-    apart = stored(apart.join(mixed, "k", "left_semi"))
-    x, y = (apart.select("k", *[F.col(c).alias(c + side) for c in ("_key", "n", "pos", "root")]) for side in "xy")
+    def pairs_of(rows: DataFrame) -> DataFrame:
+        """(u, v) of rows (_key, n, pos, prev) that can be similar, each once."""
+        rows = rows.where(F.col("_key") != F.col("prev._key")).where(possible(F.col("n"), F.col("pos"), F.col("prev.n"), F.col("prev.pos")))
+        return rows.select(F.greatest("_key", "prev._key").alias("u"), F.least("_key", "prev._key").alias("v")).distinct()
+
+    tested = stored(pairs_of(places.where(F.col("prev").isNotNull())))
+    linked, places = verified(hopeful(tested)), places.drop("prev")
+    for turn in range(TURNS + 1):
+        roots = stored(components(linked)).select("node", "root")
+        apart = places.join(small(roots), F.col("_key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "_key")).drop("node")
+        mixed = apart.groupBy("k").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("k")
+        apart = stored(apart.join(mixed, "k", "left_semi"))
+        each = apart.groupBy("k", "root").agg(F.count("*").cast("double").alias("c")).groupBy("k").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("own"))
+        meets, held = each.agg(F.sum((F.col("c") * F.col("c") - F.col("own")) / 2), F.sum("c")).first()
+        if turn == TURNS or meets is None or meets <= DENSE * held:
+            break
+        one = apart.groupBy("k", "root").agg(F.min_by(F.struct("_key", "n", "pos"), F.xxhash64(F.lit(turn), "_key")).alias("x"), F.count("*").alias("c"))
+        order = Window.partitionBy("k").orderBy(F.desc("c"), F.xxhash64(F.lit(turn), "root"), "root")
+        one = one.select("x.*", F.array(F.first("x").over(order), *[F.lag("x", i).over(order) for i in range(1, 4)]).alias("prevs")).select("_key", "n", "pos", F.explode("prevs").alias("prev"))
+        fresh = stored(pairs_of(one.where(F.col("prev").isNotNull())).join(tested, ["u", "v"], "left_anti"))
+        found = verified(hopeful(fresh))
+        tested, linked = stored(tested.unionAll(fresh)), stored(linked.unionAll(found))
+        if found.isEmpty():
+            break
+    apart = apart.join(keyed.select("_key", "bits"), "_key")
+    x, y = (apart.select("k", *[F.col(c).alias(c + side) for c in ("_key", "n", "pos", "root", "bits")]) for side in "xy")
     rest = x.join(y, "k").where((F.col("_keyx") > F.col("_keyy")) & (F.col("rootx") != F.col("rooty"))).where(possible(F.col("nx"), F.col("posx"), F.col("ny"), F.col("posy")))
-    rest = rest.select(F.col("_keyx").alias("u"), F.col("_keyy").alias("v")).distinct().join(met, ["u", "v"], "left_anti")
+    rest = rest.where(differ(F.col("nx"), F.col("ny"), F.col("bitsx"), F.col("bitsy")))
+    rest = rest.select(F.col("_keyx").alias("u"), F.col("_keyy").alias("v")).distinct().join(tested, ["u", "v"], "left_anti")
     return same.unionAll(linked).unionAll(verified(stored(rest)))
 
 
 def one_of_each(docs: DataFrame, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents less all but the first key of each group of near copies, and less repeats of a key; rows without a key stay.
+    """The documents less all but the first key of each group of near copies, and less repeats of a row; rows without a key stay.
 
     Groups: components of pairs of that similarity in words of five; texts without a word are copies. Pairs within op3's two bits are
-    among them if they have that similarity, and stay apart if they don't.
+    among them if they have that similarity, and stay apart if they don't. Rows of one key with different texts are documents of
+    their own, each removed only for what its own text is like.
     """
-    found = components(close_pairs(docs, similarity, key=key, text=text)).where("node <> root").select(F.col("node").alias("_copy"))
-    kept = docs.where(F.col(key).isNotNull()).join(small(stored(found)), F.col(key) == F.col("_copy"), "left_anti")
-    kept = kept.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(key))).where("_n = 1").select(*docs.columns)
-    return kept.unionAll(docs.where(F.col(key).isNull()))
+    rows = docs.where(F.col(key).isNotNull())
+    h = F.xxhash64(F.lit(3), F.coalesce(F.col(text), F.lit("")))
+    shared = rows.groupBy(key).agg(F.min(h).alias("a"), F.max(h).alias("b"), F.count("*").alias("n"))
+    several, repeats = shared.agg(F.max((F.col("a") != F.col("b")).cast("int")), F.max("n")).first()
+    own = F.struct(F.col(key).alias("k"), h.alias("h")) if several else F.col(key)
+    keyed = rows.withColumn("_own", own)
+    found = components(close_pairs(keyed, similarity, key="_own", text=text)).where("node <> root").select(F.col("node").alias("_copy"))
+    kept = keyed.join(small(stored(found)), F.col("_own") == F.col("_copy"), "left_anti")
+    if repeats and repeats > 1:  # repeats of one row: any will do, as they have one key and one text
+        kept = kept.withColumn("_n", F.row_number().over(Window.partitionBy("_own").orderBy(F.lit(0)))).where("_n = 1")
+    return kept.select(*docs.columns).unionAll(docs.where(F.col(key).isNull()))
 
 
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,3 +67,12 @@ def test_rows_without_an_id_are_taken(make, prose):
     count = lambda x: {k: x.count(k) for k in x}
     was, got = count([r[:2] for r in rows]), count([(r["doc_id"], r["text"]) for r in out])
     assert all(n <= was[k] for k, n in got.items())
+
+
+def test_repeated_keys_come_out_once_a_row(make):
+    rows = [(1, "a b c", "en", "x"), (1, "d e f", "en", "x"), (2, "g h i", "en", "x"), (2, "g h i", "en", "x"), (3, "j k l", "en", "y"), (None, "m n o", "en", "y")]
+    got = mix.mixed_documents(make(rows)).collect()
+    taken = sum(3 * r["mix_copies"] for r in got)
+    assert len(got) <= len(rows) and taken <= 18 and len({(r["doc_id"], r["text"], i) for i, r in enumerate(got)}) == len(got)
+    few = mix.mix(make(rows[:2] + rows[4:])).collect()
+    assert len(few) == 4

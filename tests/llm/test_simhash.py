@@ -133,3 +133,37 @@ def test_equal_fingerprints_of_different_texts_stay(make):
     assert any((a ^ b).bit_count() <= 2 for a, b in itertools.combinations(fps, 2))
     got, want = kept_and_wanted(make, rows)
     assert got == want == list(range(6))
+
+
+def test_rows_of_one_key_with_texts_of_their_own(make, prose):
+    """Each is a document: none goes for what another row of its key is like; a repeated row goes."""
+    a, b, c = prose(61, 80), prose(62, 80), prose(63, 80)
+    rows = [(1, a), (1, b), (2, c), (2, c), (3, a + " tail"), (0, b + " tail"), (None, c)]
+    got = sorted((str(r["doc_id"]), r["text"]) for r in simhash.one_of_each(make(rows)).collect())
+    assert got == sorted([("1", a), ("2", c), ("0", b + " tail"), ("None", c)])
+
+
+def test_crowds_of_near_copies(make, monkeypatch):
+    """Many texts round the threshold that share their keys: the same groups, by rounds of linking and without them."""
+    rng = random.Random(8)
+    words = [str(rng.getrandbits(40)) for _ in range(60)]
+    rows = []
+    for i in range(70):
+        w = list(words)
+        w[rng.randrange(60)] = w[rng.randrange(60)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    for turns, dense in ((2, 0), (0, 8), (2, 8)):
+        monkeypatch.setattr(simhash, "TURNS", turns)
+        monkeypatch.setattr(simhash, "DENSE", dense)
+        got, want = kept_and_wanted(make, rows)
+        assert got == want, (turns, dense)
+
+
+def test_parity_bits_never_exceed_the_difference():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 50, 900):
+        a, b = (rng.integers(-(1 << 62), 1 << 62, n) for _ in range(2))
+        both = np.concatenate([a, b[: n // 2]]), np.concatenate([b, a[: n // 3]])
+        x, y = (np.unique(v) for v in both)
+        bits = sum((int(p) ^ int(q)).bit_count() if (p >= 0) == (q >= 0) else ((int(p) ^ int(q)) & (1 << 64) - 1).bit_count() for p, q in zip(simhash.parity(x), simhash.parity(y)))
+        assert bits <= len(np.setxor1d(x, y))
