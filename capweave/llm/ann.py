@@ -13,13 +13,15 @@ the shuffle); equal queries are searched once. Centroids are at most `max_lists`
 and the queries of a list are dealt to blocks of at most `block` rows by counts, so a crowded list is many small tasks.
 No pair is shuffled: each block sends its k + 1 best for a query.
 
-Defined results: null, zero and non-finite vectors (or components) take no part, nor do rows without an id; vectors of a
-length other than the commonest take no part; fewer candidates than k: all of them; repeated rows of one id and vector
+Defined results: null, zero and non-finite vectors (or components) take no part, nor do rows without an id; vectors of
+different lengths have no distance, so each length is searched by itself; fewer candidates than k: all of them; repeated rows of one id and vector
 count once; no rows or no queries: no rows; other columns stay out of the result.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -60,8 +62,9 @@ def split(x: np.ndarray, n: int, rng: np.random.Generator, rounds: int = 8) -> n
 
 
 def fit_centroids(x: np.ndarray, lists: int, fan: int = 32, seed: int = 1) -> np.ndarray:
-    """About `lists` centroids of leaves of about equal size."""
-    rng, leaves, todo = np.random.default_rng(seed), [], [(x, lists)]
+    """About `lists` centroids of leaves of about equal size. The sample is centred: distances lose no digits to a common offset."""
+    middle = x.mean(0)
+    rng, leaves, todo = np.random.default_rng(seed), [], [(x - middle, lists)]
     while todo:
         part, n = todo.pop()
         n = min(n, len(part))
@@ -69,11 +72,14 @@ def fit_centroids(x: np.ndarray, lists: int, fan: int = 32, seed: int = 1) -> np
             leaves.append(part.mean(0))
             continue
         at = split(part, min(fan, n), rng)
+        if (at == at[0]).all():  # too close together to be told apart
+            leaves.append(part.mean(0))
+            continue
         for k in range(min(fan, n)):
             own = part[at == k]
             if len(own):
                 todo.append((own, max(1, round(n * len(own) / len(part)))))
-    return np.array(leaves)
+    return np.array(leaves) + middle
 
 
 class Graph:
@@ -81,7 +87,9 @@ class Graph:
 
     def __init__(self, centroids: np.ndarray, degree: int = DEGREE) -> None:
         n = len(centroids)
-        self.c, degree = centroids, min(degree, max(1, n - 1))
+        self.offset = centroids.mean(0)
+        centroids = self.c = centroids - self.offset
+        degree = min(degree, max(1, n - 1))
         near = np.zeros((n, degree), np.int64)
         for i in range(0, n, 1024):
             d = distances(centroids[i : i + 1024], centroids)
@@ -94,7 +102,7 @@ class Graph:
 
     def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """(centroids, squared distances) of each row's `beam` best that a best-first walk finds, nearest first."""
-        n, m = len(self.c), len(q)
+        n, m, q = len(self.c), len(q), q - self.offset
         beam = min(beam, n)
         ids = np.full((m, beam), -1, np.int64)
         dist = np.full((m, beam), np.inf)
@@ -159,7 +167,7 @@ def probed(graph: Graph, q: np.ndarray, counts: np.ndarray, beam: int, prune: fl
     r, c = np.nonzero(keep & ~on[:, None])
     rows, lists = [r], [ids[r, c]]
     if on.any():
-        d = distances(q[on], graph.c)
+        d = distances(q[on] - graph.offset, graph.c)
         ids = np.argsort(d, axis=1, kind="stable")
         r, c = np.nonzero(inside(ids, np.take_along_axis(d, ids, 1)))
         rows.append(np.flatnonzero(on)[r])
@@ -175,28 +183,35 @@ def matrix(column: pa.Array) -> np.ndarray:
 def neighbours(vectors: DataFrame, queries: DataFrame, k: int = K, list_size: int = LIST_SIZE, max_lists: int = MAX_LISTS, sample: int = SAMPLE, closure: float = CLOSURE, prune: float = PRUNE,
                beam: int = BEAM, least: int = LEAST, block: int = BLOCK, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query row, itself excluded; score is the Euclidean distance."""
-    spark = vectors.sparkSession
     rows, asked = usable(vectors, key, vector), usable(queries, key, vector)
-    lengths = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    empty = "query_id long, rank int, vec_id long, score double"
-    if lengths is None:
-        return spark.createDataFrame([], empty)
-    rows, asked = rows.where(F.size("v") == lengths["n"]).distinct(), asked.where(F.size("v") == lengths["n"]).distinct()
+    lengths = sorted(r[0] for r in asked.select(F.size("v")).distinct().collect())  # a few numbers
+    options = dict(k=k, list_size=list_size, max_lists=max_lists, sample=sample, closure=closure, prune=prune, beam=beam, least=least, block=block)
+    parts = [_of_one_length(rows.where(F.size("v") == n).distinct(), asked.where(F.size("v") == n).distinct(), **options) for n in lengths]
+    if not parts:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return reduce(DataFrame.unionAll, parts)
+
+
+def _of_one_length(rows: DataFrame, asked: DataFrame, k: int, list_size: int, max_lists: int, sample: int, closure: float, prune: float, beam: int, least: int, block: int) -> DataFrame:
+    spark = rows.sparkSession
+    asked = stored(asked)
     # the k + 1 smallest ids of each vector
     ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("r") <= k + 1)
     classes = stored(ranked.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")))
     n = classes.count()
+    if not n:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     lists = int(min(max_lists, max(1, -(-n // list_size))))
     size = min(sample, max(lists * 16, 1024))
     # distinct vectors with a small seeded hash are the sample: about `size` of them, or all
     part = F.shiftrightunsigned(F.xxhash64(F.lit(5), "v"), 32)
     few = classes.where(part < int(min(1.0, size / n) * (1 << 32))).select("v", part.alias("h"))
     x = np.array([v for _, v in sorted((r["h"], r["v"]) for r in few.toLocalIterator())] or [classes.first()["v"]])
-    centroids = fit_centroids(x, lists)
-    shared = spark.sparkContext.broadcast(centroids)
+    # the graph is built once; its size is bounded by max_lists
+    shared = spark.sparkContext.broadcast(Graph(fit_centroids(x, lists)))
 
     def post(batches):
-        graph = Graph(shared.value)
+        graph = shared.value
         for b in batches:
             for i in range(0, b.num_rows, 1024):
                 part = b.slice(i, 1024)
@@ -206,46 +221,49 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = K, list_size: in
 
     postings = stored(classes.mapInArrow(post, "list long, v array<double>, ids array<long>"))
     held = {r[0]: r[1] for r in postings.groupBy("list").count().collect()}  # at most max_lists numbers
-    counts = np.array([held.get(i, 0) for i in range(len(centroids))])
+    counts = np.array([held.get(i, 0) for i in range(len(shared.value.c))])
     shared_counts = spark.sparkContext.broadcast(counts)
 
     def probe(batches):
-        graph, counts = Graph(shared.value), shared_counts.value
+        graph, counts = shared.value, shared_counts.value
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
                 row, at = probed(graph, matrix(part.column(0)), counts, beam, prune, least)
                 for j in range(0, len(row), 8192):
-                    yield pa.RecordBatch.from_arrays([pa.array(at[j : j + 8192], pa.int64()), part.column(0).take(pa.array(row[j : j + 8192]))], names=["list", "q"])
+                    own = pa.array(row[j : j + 8192])
+                    yield pa.RecordBatch.from_arrays([pa.array(at[j : j + 8192], pa.int64()), part.column(0).take(own), part.column(1).take(own)], names=["list", "q", "no"])
 
-    probes = stored(asked.select("v").distinct().mapInArrow(probe, "list long, q array<double>"))
+    # equal queries are one, named by the smallest id
+    named = stored(asked.groupBy("v").agg(F.min("id").alias("no")))
+    probes = stored(named.mapInArrow(probe, "list long, q array<double>, no long"))
     sizes = postings.groupBy("list").agg(F.ceil(F.count("*") / block).alias("nv")).join(probes.groupBy("list").agg(F.ceil(F.count("*") / block).alias("nq")), "list")
     sizes = F.broadcast(sizes)  # one row a list
     spread = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     left = postings.join(sizes, "list").withColumn("vb", F.pmod(F.xxhash64("v"), F.col("nv"))).withColumn("qb", spread("nq")).select("list", "vb", "qb", "v", "ids")
-    right = probes.join(sizes, "list").withColumn("qb", F.pmod(F.xxhash64("q"), F.col("nq"))).withColumn("vb", spread("nv")).select("list", "vb", "qb", "q")
+    right = probes.join(sizes, "list").withColumn("qb", F.pmod(F.xxhash64("q"), F.col("nq"))).withColumn("vb", spread("nv")).select("list", "vb", "qb", "q", "no")
 
     def compare(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        out = {"q": [], "vec_id": [], "score": []}
+        out = {"no": [], "vec_id": [], "score": []}
         if len(v) and len(q):
             data = np.stack(v["v"].to_list())
             ids = [np.asarray(i) for i in v["ids"]]
-            for one in q["q"]:
+            for no, one in zip(q["no"], q["q"]):
                 d = np.sqrt(((data - np.asarray(one)) ** 2).sum(1))
                 near = np.argsort(d, kind="stable")
                 if len(near) > k + 1:
                     near = np.flatnonzero(d <= d[near[k]])
                 best = sorted((d[j], i) for j in near for i in ids[j])[: k + 1]
-                out["q"] += [one] * len(best)
+                out["no"] += [int(no)] * len(best)
                 out["vec_id"] += [int(i) for _, i in best]
                 out["score"] += [float(s) for s, _ in best]
-        return pd.DataFrame(out)
+        return pd.DataFrame(out).astype({"no": "int64", "vec_id": "int64", "score": "float64"})
 
-    found = left.groupBy("list", "vb", "qb").cogroup(right.groupBy("list", "vb", "qb")).applyInPandas(compare, "q array<double>, vec_id long, score double")
-    near = Window.partitionBy("q").orderBy("score", "vec_id")
-    best = found.distinct().withColumn("r", F.row_number().over(near)).where(F.col("r") <= k + 1).groupBy("q").agg(F.collect_list(F.struct("score", "vec_id")).alias("found"))
+    found = left.groupBy("list", "vb", "qb").cogroup(right.groupBy("list", "vb", "qb")).applyInPandas(compare, "no long, vec_id long, score double")
+    near = Window.partitionBy("no").orderBy("score", "vec_id")
+    best = found.distinct().withColumn("r", F.row_number().over(near)).where(F.col("r") <= k + 1).groupBy("no").agg(F.collect_list(F.struct("score", "vec_id")).alias("found"))
     # each query row takes its vector's answers, without itself
-    mine = asked.withColumnRenamed("v", "q").join(best, "q")
+    mine = asked.join(named, "v").select("id", "no").join(best, "no")
     own = F.slice(F.array_sort(F.filter("found", lambda f: f["vec_id"] != F.col("id"))), 1, k)
     return mine.select(F.col("id").alias("query_id"), F.posexplode(own).alias("pos", "f")).select(
         "query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("f.vec_id").alias("vec_id"), F.col("f.score").alias("score"))

@@ -68,3 +68,27 @@ def test_the_beam_is_no_cap_on_the_lists(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     found = lambda beam: sorted((r["query_id"], r["rank"], r["vec_id"]) for r in ann.neighbours(df, df.where("vec_id % 100 = 0"), list_size=40, beam=beam, least=1).collect())
     assert found(4) == found(1000)
+
+
+def test_vectors_that_can_hardly_be_told_apart(spark):
+    """Close together and far from the origin: centroids are fitted, and the neighbours are the nearest."""
+    rng = np.random.default_rng(9)
+    x = 1e8 + 1e-4 * rng.permutation(300)[:, None] * np.ones((1, 4))
+    assert 1 <= len(ann.fit_centroids(x, 40)) <= 300 and len(ann.fit_centroids(np.full((50, 3), 1e300), 8)) == 1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.neighbours(df, df.where("vec_id % 100 = 0"), k=3, list_size=20).collect()
+    hits = 0
+    for q in (0, 100, 200):
+        d = sorted((float(np.sqrt(((x[j] - x[q]) ** 2).sum())), j) for j in range(300) if j != q)[:3]
+        hits += len({j for _, j in d} & {r["vec_id"] for r in got if r["query_id"] == q})
+    assert len(got) == 9 and hits >= 8
+
+
+def test_each_length_is_searched_by_itself(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(0, 300, 50)] + [(1000 + i, [float(i), 1.0, 2.0]) for i in range(0, 300, 50)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.neighbours(df, df.where("vec_id % 100 = 0"), k=2).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    two = {0: [50, 100], 100: [50, 150], 200: [150, 250]}
+    assert {q: [v for _, v in sorted(x)] for q, x in got.items()} == two | {1000 + q: [1000 + v for v in x] for q, x in two.items()}
