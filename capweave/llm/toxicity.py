@@ -15,6 +15,8 @@ empty lexicon and score 0 for all; repeated rows: repeated results; other column
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from itertools import accumulate
 import re
 
 import numpy as np
@@ -76,7 +78,11 @@ class Lexicon:
                 quiet.append((start, end))
             elif start not in best or w > best[start][2]:
                 best[start] = (start, end, w)
-        return [m for m in best.values() if not any(a <= m[0] and m[1] <= b + 1 for a, b in quiet)]
+        # the furthest end of the phrases that start up to each place: a match inside one of them is told by one look
+        quiet.sort()
+        starts, reach = [a for a, _ in quiet], list(accumulate((b for _, b in quiet), max))
+        outside = lambda m: (i := bisect_right(starts, m[0])) == 0 or m[1] > reach[i - 1] + 1
+        return [m for m in best.values() if outside(m)]
 
     def density(self, text: str | None) -> float:
         folded = fold(text)

@@ -234,3 +234,18 @@ def test_license_with_changed_and_added_words(make):
     added = w[:at] + ["as", "shipped", "by", "us", "here", "today"] + w[at:]
     got = {r["doc_id"]: r["labels"] for r in license.scan(make([(1, " ".join(changed)), (2, " ".join(added)), (3, " ".join(w[:8]))])).collect()}
     assert got == {1: "bsd", 2: "bsd", 3: ""}
+
+
+def test_exceptions_by_every_pair():
+    """Matches outside exception phrases, as by comparing each match with each phrase."""
+    from capweave.llm.toxicity import Lexicon, fold
+
+    rng = random.Random(21)
+    words = ["bad", "dog", "very", "badly", "x", "joke"]
+    lexicon = Lexicon({" bad": 1.0, " dog": 2.0}, [" very bad joke ", " bad dog ", " dog x bad "])
+    for _ in range(200):
+        folded = fold(" ".join(rng.choice(words) for _ in range(rng.randint(0, 30))))
+        quiet = [(i, i + len(e) - 1) for e in (" very bad joke ", " bad dog ", " dog x bad ") for i in range(len(folded)) if folded.startswith(e, i)]
+        hits = [(i, i + len(w) - 1) for w in (" bad", " dog") for i in range(len(folded)) if folded.startswith(w, i)]
+        want = sorted(h for h in hits if not any(a <= h[0] and h[1] <= b + 1 for a, b in quiet))
+        assert sorted((a, b) for a, b, _ in lexicon.matches(folded)) == want
