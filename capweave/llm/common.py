@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 import zlib
 
@@ -54,6 +55,12 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of finished shuffles, whose files stay until the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def crc_of(doc_id: Column) -> Column:
     """crc32 of the id written as text; the folds of the learned operators come from it."""
     return F.crc32(doc_id.cast("string").cast("binary"))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from capweave.llm.common import components, small, stored, table
+from capweave.llm.common import components, release, small, stored, table
 
 WIDTH, DISTANCE, SEED = 3, 2, 42
 PIECE = 1 << 16
@@ -153,8 +153,8 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, width)])).view(np.int64)
 
 
-#: of a set's parity bits; rounds of linking a key's groups, as long as its pairs are over so many times its holders
-BITS, TURNS, DENSE = 512, 2, 8
+#: of a set's parity bits; rounds of linking a key's groups, as long as its pairs are over so many times its holders; what is many holders
+BITS, TURNS, DENSE, CROWD = 512, 2, 8, 16
 
 
 def parity(hashes: np.ndarray) -> np.ndarray:
@@ -192,7 +192,8 @@ def close_pairs(docs: DataFrame, similarity: float = 0.8, width: int = 5, key: s
     """
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     kind = rows.schema[0].dataType
-    shared_order = docs.sparkSession.sparkContext.broadcast(common_shingles(rows, width))
+    spark = docs.sparkSession
+    shared_order = spark.sparkContext.broadcast(common_shingles(rows, width))
 
     def block(batches):
         common = shared_order.value
@@ -224,6 +225,8 @@ def close_pairs(docs: DataFrame, similarity: float = 0.8, width: int = 5, key: s
     places = places.withColumn("prev", F.lag(F.struct("_key", "n", "pos")).over(order)).withColumn("next", F.lead("_key").over(order))
     places = stored(places.where(F.col("prev").isNotNull() | F.col("next").isNotNull()).drop("next"))
 
+    release(spark)
+
     def possible(n, i, m, j):
         """The first key that a pair shares stands at i and j: the shingles before it, and the difference of those after it, are not shared."""
         return (1 + similarity) * (i + j + F.abs((n - i) - (m - j))) <= (1 - similarity) * (n + m) + 1e-6
@@ -276,11 +279,20 @@ def close_pairs(docs: DataFrame, similarity: float = 0.8, width: int = 5, key: s
         tested, linked = stored(tested.unionAll(fresh)), stored(linked.unionAll(found))
         if found.isEmpty():
             break
-    apart = apart.join(keyed.select("_key", "bits"), "_key")
-    x, y = (apart.select("k", *[F.col(c).alias(c + side) for c in ("_key", "n", "pos", "root", "bits")]) for side in "xy")
-    rest = x.join(y, "k").where((F.col("_keyx") > F.col("_keyy")) & (F.col("rootx") != F.col("rooty"))).where(possible(F.col("nx"), F.col("posx"), F.col("ny"), F.col("posy")))
-    rest = rest.where(differ(F.col("nx"), F.col("ny"), F.col("bitsx"), F.col("bitsy")))
-    rest = rest.select(F.col("_keyx").alias("u"), F.col("_keyy").alias("v")).distinct().join(tested, ["u", "v"], "left_anti")
+    # the pairs of a key of many carry their bits into the join; of the others, few pairs to a row, the bits are looked at after it
+    release(spark)
+    counted = apart.groupBy("k").agg(F.count("*").alias("c")).where(F.col("c") > CROWD).select("k")
+    crowded = apart.join(small(counted), "k", "left_semi").join(keyed.select("_key", "bits"), "_key")
+
+    def meet(rows: DataFrame, *more: str):
+        x, y = (rows.select("k", *[F.col(c).alias(c + side) for c in ("_key", "n", "pos", "root", *more)]) for side in "xy")
+        both = x.join(y, "k").where((F.col("_keyx") > F.col("_keyy")) & (F.col("rootx") != F.col("rooty"))).where(possible(F.col("nx"), F.col("posx"), F.col("ny"), F.col("posy")))
+        return both.where(differ(F.col("nx"), F.col("ny"), F.col("bitsx"), F.col("bitsy"))) if more else both
+
+    many = meet(crowded, "bits").select("_keyx", "_keyy").distinct()
+    few = meet(apart.join(small(counted), "k", "left_anti")).select("_keyx", "_keyy").distinct()
+    new = lambda df: df.select(F.col("_keyx").alias("u"), F.col("_keyy").alias("v")).join(tested, ["u", "v"], "left_anti")
+    rest = new(many).unionAll(hopeful(new(few))).distinct()
     return same.unionAll(linked).unionAll(verified(stored(rest)))
 
 

@@ -24,7 +24,6 @@ each other; repeated rows: repeated results; an empty table: no rows; other colu
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from functools import reduce
 
@@ -34,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from capweave.llm.common import SMALL_ROWS, small, stored, table
+from capweave.llm.common import SMALL_ROWS, release, small, stored, table
 from capweave.llm.suffix import Text, repeated_classes
 
 LENGTH, GRAM, CROWD, SHARD_BYTES = 50, 26, 10_000, 4 << 20
@@ -92,12 +91,6 @@ def _most_over(low: np.ndarray, w: int) -> np.ndarray:
     return np.maximum(x[:n], x[w - span : w - span + n])
 
 
-def release(spark: SparkSession) -> None:
-    """Lets go of finished shuffles, whose files stay until the driver collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _shared_anchors(texts: DataFrame, length: int, gram: int, crowd: int) -> DataFrame:
     """(doc, places, crowded): of each document, the places of anchors that another document has too.
 
