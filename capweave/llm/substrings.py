@@ -298,6 +298,19 @@ def lost(b: pa.RecordBatch, rows: np.ndarray, firsts: np.ndarray) -> pa.RecordBa
     return pa.RecordBatch.from_arrays([*(some.column(i) for i in (3, 4, 5)), pa.array(mask[on])], names=["doc", "tid", "start", "mask"])
 
 
+#: the same with the marks of a document together
+MARKS, ONE_MARK = "doc long, tid long, marks array<struct<start:long,mask:long>>", "array(struct(start, mask)) AS marks"
+
+
+def by_document(b: pa.RecordBatch) -> pa.RecordBatch:
+    """Marks, those of a document in a row, as one row for each document."""
+    doc, tid = b.column(0).to_numpy(), b.column(1).to_numpy()
+    cuts = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (tid[1:] != tid[:-1])]))
+    each = pa.StructArray.from_arrays([b.column(2), b.column(3)], ["start", "mask"])
+    lists = pa.ListArray.from_arrays(pa.array(np.append(cuts, len(doc)).astype(np.int32)), each)
+    return pa.RecordBatch.from_arrays([pa.array(doc[cuts]), pa.array(tid[cuts]), lists], names=["doc", "tid", "marks"])
+
+
 def _marks(contexts: DataFrame, length: int, gram: int, shard_bytes: int) -> DataFrame:
     """(doc, tid, start, mask): bit i of mask marks the string at start + i as held by a smaller id."""
 
@@ -349,13 +362,14 @@ def _crowded_marks(sharing: DataFrame, length: int, gram: int, crowd: int, shard
             held, firsts = shared.value
             at = pc.fill_null(pc.index_in(b.column(1), held), -1).to_numpy()
             rows = np.flatnonzero(at >= 0)
-            return lost(b, rows, firsts[at[rows]])
+            out = lost(b, rows, firsts[at[rows]])
+            return None if out is None else by_document(out)
 
-        return _contexts(sharing, "crowded", length, gram, look_up, MARK)
+        return _contexts(sharing, "crowded", length, gram, look_up, MARKS)
     # too many to hold: those of very many documents are few, and go to all; the rest meets in a join
     mask = F.expr("aggregate(transform(firsts, (f, i) -> if(f < doc, shiftleft(1L, i), 0L)), 0L, (a, b) -> a + b)")
     parts = [small(solved.where(F.col("n") > OFTEN)), solved.where(F.col("n") <= OFTEN)]
-    return reduce(DataFrame.unionByName, [contexts.join(df, F.col("ctx") == F.col("c")).select("doc", "tid", "start", mask.alias("mask")).where("mask <> 0") for df in parts])
+    return reduce(DataFrame.unionByName, [contexts.join(df, F.col("ctx") == F.col("c")).select("doc", "tid", "start", mask.alias("mask")).where("mask <> 0").selectExpr("doc", "tid", ONE_MARK) for df in parts])
 
 
 def strip(raw: bytes, marks: list[tuple[int, int]], length: int) -> tuple[int, int, bytes]:
@@ -396,9 +410,9 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, cro
     release(spark)
     sharing = stored(singles.join(places, "doc"))
     release(spark)
-    marks = _marks(_contexts(sharing, "places", length, gram), length, gram, shard_bytes)
+    marks = _marks(_contexts(sharing, "places", length, gram), length, gram, shard_bytes).selectExpr("doc", "tid", ONE_MARK)
     marks = marks.unionByName(_crowded_marks(sharing, length, gram, crowd, shard_bytes, few))
-    marks = stored(marks.groupBy(F.col("doc").alias("d"), F.col("tid").alias("t")).agg(F.collect_list(F.struct("start", "mask")).alias("marks")))
+    marks = stored(marks.groupBy(F.col("doc").alias("d"), F.col("tid").alias("t")).agg(F.flatten(F.collect_list("marks")).alias("marks")))
     release(spark)
     marked = sharing.join(marks, (F.col("doc") == F.col("d")) & (F.col("tid") == F.col("t"))).select("doc", "tid", "text", "marks")
 
