@@ -244,7 +244,7 @@ def _of_one_length(rows: DataFrame, asked: DataFrame, k: int, list_size: int, ma
     right = probes.join(sizes, "list").withColumn("qb", F.pmod(F.xxhash64("q"), F.col("nq"))).withColumn("vb", spread("nv")).select("list", "vb", "qb", "q", "no")
 
     def compare(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        out = {"no": [], "vec_id": [], "score": []}
+        out = {"no": [], "vec_id": [], "score": []}  # a row for each query
         if len(v) and len(q):
             data = np.stack(v["v"].to_list())
             ids = [np.asarray(i) for i in v["ids"]]
@@ -254,14 +254,19 @@ def _of_one_length(rows: DataFrame, asked: DataFrame, k: int, list_size: int, ma
                 if len(near) > k + 1:
                     near = np.flatnonzero(d <= d[near[k]])
                 best = sorted((d[j], i) for j in near for i in ids[j])[: k + 1]
-                out["no"] += [int(no)] * len(best)
-                out["vec_id"] += [int(i) for _, i in best]
-                out["score"] += [float(s) for s, _ in best]
-        return pd.DataFrame(out).astype({"no": "int64", "vec_id": "int64", "score": "float64"})
-
-    found = left.groupBy("list", "vb", "qb").cogroup(right.groupBy("list", "vb", "qb")).applyInPandas(compare, "no long, vec_id long, score double")
-    near = Window.partitionBy("no").orderBy("score", "vec_id")
-    best = found.distinct().withColumn("r", F.row_number().over(near)).where(F.col("r") <= k + 1).groupBy("no").agg(F.collect_list(F.struct("score", "vec_id")).alias("found"))
+                out["no"].append(int(no))
+                out["vec_id"].append([int(i) for _, i in best])
+                out["score"].append([float(s) for s, _ in best])
+        return pd.DataFrame(out).astype({"no": "int64"})
+
+    def merge(found: pd.DataFrame) -> pd.DataFrame:
+        """The k + 1 best of all blocks of a query, at most one row for each list and block of it; a vector is in several lists."""
+        pairs = {(s, i) for scores, ids in zip(found["score"], found["vec_id"]) for s, i in zip(scores, ids)}
+        best = sorted(pairs)[: k + 1]
+        return pd.DataFrame({"no": found["no"].iloc[:1].to_list(), "found": [[{"score": float(s), "vec_id": int(i)} for s, i in best]]})
+
+    found = left.groupBy("list", "vb", "qb").cogroup(right.groupBy("list", "vb", "qb")).applyInPandas(compare, "no long, vec_id array<long>, score array<double>")
+    best = found.groupBy("no").applyInPandas(merge, "no long, found array<struct<score:double,vec_id:long>>")
     # each query row takes its vector's answers, without itself
     mine = asked.join(named, "v").select("id", "no").join(best, "no")
     own = F.slice(F.array_sort(F.filter("found", lambda f: f["vec_id"] != F.col("id"))), 1, k)
