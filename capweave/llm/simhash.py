@@ -25,7 +25,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -157,12 +157,25 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
 BITS, TURNS, DENSE, CROWD = 512, 2, 8, 16
 
 
-def parity(hashes: np.ndarray) -> np.ndarray:
-    """BITS bits as longs: each says whether an odd number of the hashes falls on it. Two sets differ in at least as many hashes as bits."""
-    odd = np.bincount(hashes.view(np.uint64) % np.uint64(BITS), minlength=BITS) & 1 if len(hashes) else np.zeros(BITS, np.int64)
+def parity(hashes: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Bits as longs: each says whether an odd number of the hashes falls on it. Two sets differ in at least as many hashes as bits."""
+    odd = np.bincount(hashes.view(np.uint64) % np.uint64(bits), minlength=bits) & 1 if len(hashes) else np.zeros(bits, np.int64)
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def wide_parity(hashes: np.ndarray) -> np.ndarray:
+    """Parity bits by a power of two, four or more to a hash: BITS of them tell long sets no longer apart."""
+    return parity(hashes, 64 << max(0, (-(-len(hashes) // 16) - 1).bit_length()))
+
+
+def wide_difference(a: Column, b: Column) -> Column:
+    """The places in which two wide parities differ, the one of twice the length folded; 0 where lengths are further apart."""
+    xor = lambda x, y: x.bitwiseXOR(y)
+    fold = lambda x, y: F.when(F.size(x) == 2 * F.size(y), F.zip_with(F.slice(x, F.lit(1), F.size(y)), F.slice(x, F.size(y) + 1, F.size(y)), xor)).otherwise(x)
+    places = F.aggregate(F.zip_with(fold(a, b), fold(b, a), lambda x, y: F.bit_count(xor(x, y)).cast("long")), F.lit(0).cast("long"), lambda t, x: t + x)
+    return F.coalesce(places, F.lit(0))
+
+
 def common_shingles(rows: DataFrame, width: int, docs: int = 8192, most: int = 200_000) -> np.ndarray:
     """Shingles that two of about `docs` sampled documents hold, rarest first: they only set an order, so any sample gives the same pairs."""
     n = rows.count()
@@ -188,7 +201,8 @@ def close_pairs(docs: DataFrame, similarity: float = 0.8, width: int = 5, key: s
     Work: equal shingle sets are one class. Then each document meets the one next to it in size under each key. While the documents of a
     key that are not yet in one group would make far more pairs than they are, one of each group, drawn anew, meets that of the
     largest group and those of the three next in size: a crowd of near copies falls together in linear size. What is still apart under a key meets in full. Before sets are
-    fetched for a pair, its parity bits must allow the similarity: they differ in no more places than the sets do.
+    fetched for a pair, its parity bits must allow the similarity, first a fixed number of them, then as many as the sets are long:
+    they differ in no more places than the sets do.
     """
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     kind = rows.schema[0].dataType
@@ -245,13 +259,23 @@ def close_pairs(docs: DataFrame, similarity: float = 0.8, width: int = 5, key: s
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
                 sets = [shingle_set(t, width) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["_key", "s"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64())), pa.array([wide_parity(x) for x in sets], pa.list_(pa.int64()))], names=["_key", "s", "w"])
+
+    def both_sides(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+        """(u, v, a, b): only the column of each u moves to its v."""
+        x = sets.join(small(pairs), F.col("_key") == F.col("u")).select("u", "v", F.col(column).alias("a"))
+        y = sets.join(small(pairs.select(F.col("v").alias("_id")).distinct()), F.col("_key") == F.col("_id"), "left_semi")
+        return x.join(y.select(F.col("_key").alias("v"), F.col(column).alias("b")), "v")
 
     def verified(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("u").alias("_id")).union(pairs.select("v")).distinct()
         some = rows.join(small(stored(ids)), F.col("_key") == F.col("_id"), "left_semi")
-        sets = stored(some.mapInArrow(shingle, T.StructType([T.StructField("_key", kind), T.StructField("s", T.ArrayType(T.LongType()))])))
-        both = pairs.join(sets.select(F.col("_key").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("_key").alias("v"), F.col("s").alias("b")), "v")
+        longs = T.ArrayType(T.LongType())
+        sets = stored(some.mapInArrow(shingle, T.StructType([T.StructField("_key", kind), T.StructField("s", longs), T.StructField("w", longs)])))
+        sized = sets.select("_key", F.struct(F.size("s").alias("n"), "w").alias("w"))
+        alike = wide_difference(F.col("a.w"), F.col("b.w")) * (1 + similarity) <= (1 - similarity) * (F.col("a.n") + F.col("b.n")) + 1e-6
+        pairs = stored(both_sides(pairs, sized, "w").where(alike).select("u", "v"))
+        both = both_sides(pairs, sets, "s")
         common = F.size(F.array_intersect("a", "b"))
         return stored(both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v"))
 
