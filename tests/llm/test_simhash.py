@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from capweave.llm import simhash
 from capweave.llm.common import components
@@ -167,3 +168,22 @@ def test_parity_bits_never_exceed_the_difference():
         x, y = (np.unique(v) for v in both)
         bits = sum((int(p) ^ int(q)).bit_count() if (p >= 0) == (q >= 0) else ((int(p) ^ int(q)) & (1 << 64) - 1).bit_count() for p, q in zip(simhash.parity(x), simhash.parity(y)))
         assert bits <= len(np.setxor1d(x, y))
+
+
+def test_wide_parity_never_differs_in_more_places_than_the_sets(spark):
+    rng = np.random.default_rng(3)
+    rows, apart = [], []
+    for n, m, shared in ((40, 40, 40), (63, 66, 60), (900, 1100, 850), (5000, 5000, 4600), (5000, 5000, 100), (4000, 4200, 4000)):
+        h = rng.integers(-(1 << 62), 1 << 62, n + m - shared)
+        a, b = h[:n], h[n - shared :]
+        rows.append((len(apart), simhash.wide_parity(a).tolist(), simhash.wide_parity(b).tolist()))
+        apart.append(n + m - 2 * shared)
+    df = spark.createDataFrame(rows, "i int, a array<long>, b array<long>")
+    got = {r["i"]: r["d"] for r in df.select("i", simhash.wide_difference(F.col("a"), F.col("b")).alias("d")).collect()}
+    assert all(got[i] <= d for i, d in enumerate(apart))
+    assert got[0] == 0 and got[4] * 1.8 > 0.2 * 10_000  # 5000 and 5000 with little in common are told apart
+
+
+def test_wide_difference_of_unlike_lengths_lets_the_pair_pass(spark):
+    df = spark.createDataFrame([([1] * 8, [1] * 2)], "a array<long>, b array<long>")
+    assert df.select(simhash.wide_difference(F.col("a"), F.col("b")).alias("d")).first()["d"] == 0
