@@ -161,13 +161,25 @@ class Model:
         return names, scores
 
 
+def first_of_each(rows: DataFrame, most: int) -> DataFrame:
+    """The first `most` distinct keys (_k) of each language (_l) in a seeded hash order.
+
+    Counts by slices of that order tell where a language has enough, so that only those slices are ranked, not the whole language.
+    """
+    ids = stored(rows.distinct().withColumn("_h", F.xxhash64(F.lit(3), "_k")).withColumn("_slice", F.shiftright("_h", 52)))
+    before = F.sum("_c").over(Window.partitionBy("_l").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))
+    open_ = ids.groupBy("_l", "_slice").agg(F.count("*").alias("_c")).withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") < most)
+    last = small(stored(open_.groupBy(F.col("_l").alias("_of")).agg(F.max("_slice").alias("_last"))))
+    near = ids.join(last, (F.col("_l") == F.col("_of")) & (F.col("_slice") <= F.col("_last")))
+    ranked = near.withColumn("_n", F.row_number().over(Window.partitionBy("_l").orderBy("_h", "_k")))
+    return ranked.where(F.col("_n") <= most).select("_k", "_l")
+
+
 def train(labelled: DataFrame, path: str = VOCABULARY, sample_docs: int = SAMPLE_DOCS, rounds: int = ROUNDS, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """The model of the labelled rows (text and lang not null)."""
     spark = labelled.sparkSession
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    first = Window.partitionBy("_l").orderBy(F.xxhash64(F.lit(3), "_k"), "_k")
-    chosen = rows.select(F.col(key).alias("_k"), F.col(lang).alias("_l")).distinct().withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= sample_docs)
-    chosen = small(stored(chosen.select("_k", "_l")))
+    chosen = small(stored(first_of_each(rows.select(F.col(key).alias("_k"), F.col(lang).alias("_l")), sample_docs)))
     texts = rows.join(chosen, (F.col(key) == F.col("_k")) & (F.col(lang) == F.col("_l"))).select(F.col("_l").alias("lang"), F.col(text).alias("text"))
 
     def count(batches):
