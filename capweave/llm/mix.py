@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from capweave.llm.common import cut, small, stored, table
+from capweave.llm.common import cut, release, small, stored, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -111,6 +111,7 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", so
 
     Rows whose key is null or repeated get one of their own, from their key, text, source and a number among equals.
     """
+    release(docs.sparkSession)
     again = stored(docs.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_again")).agg(F.count("*").alias("_c")).where("_c > 1").select("_again"))
     odd = docs.where(F.col(key).isNull())
     if not again.isEmpty():
@@ -124,7 +125,7 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", so
     rows = plain.withColumn("_row", F.lit(None).cast("string")).unionByName(odd)
     decided = stored(mix(rows, key=key, text=text, source=source, row="_row", **options).where("copies > 0"))
     chosen = decided.select(F.col(key).alias("_k"), F.col("_row").alias("_r"), F.col("copies").alias("_copies"), F.col("first_finish").alias("_first"))
-    named = plain.join(chosen.where("_r is null").drop("_r"), F.col(key) == F.col("_k")).drop("_k")
+    named = plain.join(small(chosen.where("_r is null").drop("_r")), F.col(key) == F.col("_k")).drop("_k")
     out = named.unionByName(odd.join(chosen.where("_r is not null"), F.col("_row") == F.col("_r")).drop("_row", "_r", "_k"))
     return out.repartitionByRange("_first").sortWithinPartitions("_first", key).withColumnRenamed("_copies", "mix_copies").withColumnRenamed("_first", "mix_finish")
 
