@@ -6,6 +6,7 @@ import atexit
 import gc
 import uuid
 import zlib
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -43,9 +44,34 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/capweave-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
+    if _scopes:
+        _scopes[-1].append(path)
     return spark.read.parquet(path)
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession, keep: int = 0):
+    """What is stored inside is removed at the end, less the last `keep` tables, which pass to the scope around.
+
+    For eager work only: nothing that is read later may still refer to a table of the scope.
+    """
+    _scopes.append([])
+    done = False
+    try:
+        yield
+        done = True
+    finally:
+        paths = _scopes.pop()
+        kept = paths[len(paths) - keep :] if done and keep else []
+        for path in paths[: len(paths) - len(kept)]:
+            _remove(spark, path)
+        if _scopes:
+            _scopes[-1].extend(kept)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
@@ -75,9 +101,20 @@ def components(edges: DataFrame) -> DataFrame:
 
     edges: columns u, v of one orderable type; self loops and repeats are harmless. Alternates the
     large-star and small-star steps until a round changes nothing; each round is a min per node
-    (combined before the shuffle) and an equi-join, whose hubs adaptive execution splits.
+    (combined before the shuffle) and an equi-join, whose hubs adaptive execution splits. Rounds are
+    stored tables, so a lost executor costs one round; all but the last go at the end.
     """
-    e = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    spark = edges.sparkSession
+    with scratch(spark, keep=1):
+        e = _settled(edges)
+    roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
+
+
+def _settled(edges: DataFrame) -> DataFrame:
+    """The edges (node, root) of components, as a stored table."""
+    spark = edges.sparkSession
+    e = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else e
@@ -95,13 +132,13 @@ def components(edges: DataFrame) -> DataFrame:
 
     was = mark(e)
     while True:
-        e = cut(star(star(e, True), False))
+        with scratch(spark, keep=1):
+            e = stored(star(star(e, True), False))
         now = mark(e)
+        release(spark)
         if now == was:
-            break
+            return e
         was = now
-    roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, seed: int, key: str = "doc_id", text: str = "text", folds: int = 5) -> tuple[DataFrame, float]:

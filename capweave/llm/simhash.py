@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from capweave.llm.common import components, release, small, stored, table
+from capweave.llm.common import components, release, scratch, small, stored, table
 
 WIDTH, DISTANCE, SEED = 3, 2, 42
 PIECE = 1 << 16
@@ -153,8 +153,8 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, width)])).view(np.int64)
 
 
-#: of a set's parity bits; rounds of linking a key's groups, as long as its pairs are over so many times its holders; what is many holders
-BITS, TURNS, DENSE, CROWD = 512, 2, 8, 16
+#: of a set's parity bits; rounds of linking a key's groups, as long as its pairs are over so many times its holders
+BITS, TURNS, DENSE = 512, 2, 8
 
 
 def parity(hashes: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -233,6 +233,7 @@ def close_pairs(docs: DataFrame, similarity: float = 0.8, width: int = 5, key: s
     classes = keyed.groupBy("sig").agg(F.min("_key").alias("v"), F.count("*").alias("c")).where("c > 1").select("sig", "v")
     same = stored(keyed.select("sig", F.col("_key").alias("u")).join(classes, "sig").where("u <> v").select("u", "v").distinct())
     once = keyed.join(small(same.select(F.col("u").alias("_copy")).distinct()), F.col("_key") == F.col("_copy"), "left_anti")
+    release(spark)
 
     places = once.select("_key", "n", F.posexplode("keys").alias("pos", "k"))
     order = Window.partitionBy("k").orderBy("n", "_key")
@@ -268,16 +269,17 @@ def close_pairs(docs: DataFrame, similarity: float = 0.8, width: int = 5, key: s
         return x.join(y.select(F.col("_key").alias("v"), F.col(column).alias("b")), "v")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("u").alias("_id")).union(pairs.select("v")).distinct()
-        some = rows.join(small(stored(ids)), F.col("_key") == F.col("_id"), "left_semi")
-        longs = T.ArrayType(T.LongType())
-        sets = stored(some.mapInArrow(shingle, T.StructType([T.StructField("_key", kind), T.StructField("s", longs), T.StructField("w", longs)])))
-        sized = sets.select("_key", F.struct(F.size("s").alias("n"), "w").alias("w"))
-        alike = wide_difference(F.col("a.w"), F.col("b.w")) * (1 + similarity) <= (1 - similarity) * (F.col("a.n") + F.col("b.n")) + 1e-6
-        pairs = stored(both_sides(pairs, sized, "w").where(alike).select("u", "v"))
-        both = both_sides(pairs, sets, "s")
-        common = F.size(F.array_intersect("a", "b"))
-        return stored(both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v"))
+        with scratch(spark, keep=1):
+            ids = pairs.select(F.col("u").alias("_id")).union(pairs.select("v")).distinct()
+            some = rows.join(small(stored(ids)), F.col("_key") == F.col("_id"), "left_semi")
+            longs = T.ArrayType(T.LongType())
+            sets = stored(some.mapInArrow(shingle, T.StructType([T.StructField("_key", kind), T.StructField("s", longs), T.StructField("w", longs)])))
+            sized = sets.select("_key", F.struct(F.size("s").alias("n"), "w").alias("w"))
+            alike = wide_difference(F.col("a.w"), F.col("b.w")) * (1 + similarity) <= (1 - similarity) * (F.col("a.n") + F.col("b.n")) + 1e-6
+            pairs = stored(both_sides(pairs, sized, "w").where(alike).select("u", "v"))
+            both = both_sides(pairs, sets, "s")
+            common = F.size(F.array_intersect("a", "b"))
+            return stored(both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v"))
 
     def pairs_of(rows: DataFrame) -> DataFrame:
         """(u, v) of rows (_key, n, pos, prev) that can be similar, each once."""
@@ -303,20 +305,13 @@ def close_pairs(docs: DataFrame, similarity: float = 0.8, width: int = 5, key: s
         tested, linked = stored(tested.unionAll(fresh)), stored(linked.unionAll(found))
         if found.isEmpty():
             break
-    # the pairs of a key of many carry their bits into the join; of the others, few pairs to a row, the bits are looked at after it
+    # both sides carry their bits into the join, so that it makes only pairs that these allow
     release(spark)
-    counted = apart.groupBy("k").agg(F.count("*").alias("c")).where(F.col("c") > CROWD).select("k")
-    crowded = apart.join(small(counted), "k", "left_semi").join(keyed.select("_key", "bits"), "_key")
-
-    def meet(rows: DataFrame, *more: str):
-        x, y = (rows.select("k", *[F.col(c).alias(c + side) for c in ("_key", "n", "pos", "root", *more)]) for side in "xy")
-        both = x.join(y, "k").where((F.col("_keyx") > F.col("_keyy")) & (F.col("rootx") != F.col("rooty"))).where(possible(F.col("nx"), F.col("posx"), F.col("ny"), F.col("posy")))
-        return both.where(differ(F.col("nx"), F.col("ny"), F.col("bitsx"), F.col("bitsy"))) if more else both
-
-    many = meet(crowded, "bits").select("_keyx", "_keyy").distinct()
-    few = meet(apart.join(small(counted), "k", "left_anti")).select("_keyx", "_keyy").distinct()
-    new = lambda df: df.select(F.col("_keyx").alias("u"), F.col("_keyy").alias("v")).join(tested, ["u", "v"], "left_anti")
-    rest = new(many).unionAll(hopeful(new(few))).distinct()
+    bits = apart.join(keyed.select("_key", "bits"), "_key")
+    x, y = (bits.select("k", *[F.col(c).alias(c + side) for c in ("_key", "n", "pos", "root", "bits")]) for side in "xy")
+    both = x.join(y, "k").where((F.col("_keyx") > F.col("_keyy")) & (F.col("rootx") != F.col("rooty"))).where(possible(F.col("nx"), F.col("posx"), F.col("ny"), F.col("posy")))
+    both = both.where(differ(F.col("nx"), F.col("ny"), F.col("bitsx"), F.col("bitsy")))
+    rest = both.select(F.col("_keyx").alias("u"), F.col("_keyy").alias("v")).distinct().join(tested, ["u", "v"], "left_anti")
     return same.unionAll(linked).unionAll(verified(stored(rest)))
 
 
@@ -333,8 +328,13 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8, key: str = "doc_id", t
     several, repeats = shared.agg(F.max((F.col("a") != F.col("b")).cast("int")), F.max("n")).first()
     own = F.struct(F.col(key).alias("k"), h.alias("h")) if several else F.col(key)
     keyed = rows.withColumn("_own", own)
-    found = components(close_pairs(keyed, similarity, key="_own", text=text)).where("node <> root").select(F.col("node").alias("_copy"))
-    kept = keyed.join(small(stored(found)), F.col("_own") == F.col("_copy"), "left_anti")
+    spark = docs.sparkSession
+    release(spark)
+    with scratch(spark, keep=1):
+        groups = components(close_pairs(keyed, similarity, key="_own", text=text))
+        found = stored(groups.where("node <> root").select(F.col("node").alias("_copy")))
+    release(spark)
+    kept = keyed.join(small(found), F.col("_own") == F.col("_copy"), "left_anti")
     if repeats and repeats > 1:  # repeats of one row: any will do, as they have one key and one text
         kept = kept.withColumn("_n", F.row_number().over(Window.partitionBy("_own").orderBy(F.lit(0)))).where("_n = 1")
     return kept.select(*docs.columns).unionAll(docs.where(F.col(key).isNull()))

@@ -5,6 +5,10 @@ import random
 
 import corpus_pipeline
 import pytest
+from capweave.llm.common import scratch, stored
+from capweave.llm.langid import first_of_each
+from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
 from test_simhash import closed, fingerprint
 from test_text_ops import DE, EN, contained, relined
 
@@ -83,3 +87,22 @@ def test_empty_tables(spark, make, tmp_path):
     make([]).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_first_of_each(spark):
+    rows = spark.createDataFrame([(i, "ab"[i % 7 == 0]) for i in range(5000)] * 2 + [(9000, "c")], "_k long, _l string")
+    order = rows.distinct().withColumn("h", F.xxhash64(F.lit(3), "_k")).orderBy("h", "_k").collect()
+    want = sorted((r["_k"], r["_l"]) for la in "abc" for r in [x for x in order if x["_l"] == la][:900])
+    assert sorted(map(tuple, first_of_each(rows, 900).collect())) == want
+
+
+def test_scratch_keeps_the_last_table_only(spark):
+    with scratch(spark):
+        with scratch(spark, keep=1):
+            gone, kept = stored(spark.range(3)).inputFiles(), stored(spark.range(4))
+        assert kept.count() == 4
+        with pytest.raises(AnalysisException):
+            spark.read.parquet(*gone)
+        path = kept.inputFiles()[0]
+    with pytest.raises(AnalysisException):
+        spark.read.parquet(path)
