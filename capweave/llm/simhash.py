@@ -190,15 +190,31 @@ def common_shingles(rows: DataFrame, width: int, docs: int = 8192, most: int = 2
     return np.array([r["k"] for r in held.collect()][::-1], np.int64)
 
 
+def fingerprint_pairs(rows: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(u, v) of rows (_key, fp), u > v, that give the components of "fingerprints differ in at most `distance` bits".
+
+    Rows of one fingerprint meet its smallest key, and the smallest keys of linked fingerprints meet: linear in the rows.
+    """
+    classes = stored(rows.groupBy("fp").agg(F.min("_key").alias("low"), F.count("*").alias("c")))
+    several = small(classes.where("c > 1").select("fp", "low"))
+    within = rows.select("_key", "fp").join(several, "fp").where("_key <> low").select(F.col("_key").alias("u"), F.col("low").alias("v"))
+    x, y = (classes.select(F.col("fp").alias(c), F.col("low").alias(f"low{c}")) for c in "uv")
+    between = links(classes.select("fp"), distance).join(x, "u").join(y, "v")
+    between = between.select(F.greatest("lowu", "lowv").alias("u"), F.least("lowu", "lowv").alias("v"))
+    return within.unionAll(between).distinct()
+
+
 def close_pairs(docs: DataFrame, similarity: float = 0.8, width: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(u, v): links that give the components of "distinct shingles of `width` words have that Jaccard similarity or more".
 
-    Search: a prefix filter, which misses no pair. Shingles have one total order, rare ones first (by a sample; the order decides the
+    Search: first op3's method: pairs of fingerprints within DISTANCE bits, by pigeonhole blocks. It finds light edits, but not all
+    pairs of that similarity, and also unlike texts; so the exact similarity decides on each, and what it can't find comes
+    from a prefix filter, which misses no pair. Shingles have one total order, rare ones first (by a sample; the order decides the
     work, not the result). Texts that share s of their n shingles share one of their first n - s + 1, so those, for the least s
     that the similarity allows, are the join keys of a text of any length. Pairs whose sizes and places can't reach the
     similarity go (a shared key's places i, j bound what is left to share), and the rest is verified by the exact similarity.
 
-    Work: equal shingle sets are one class. Then each document meets the one next to it in size under each key. While the documents of a
+    Work: equal shingle sets are one class. Then the fingerprints' pairs are tested, and each document meets the one next to it in size under each key. While the documents of a
     key that are not yet in one group would make far more pairs than they are, one of each group, drawn anew, meets that of the
     largest group and those of the three next in size: a crowd of near copies falls together in linear size. What is still apart under a key meets in full. Before sets are
     fetched for a pair, its parity bits must allow the similarity, first a fixed number of them, then as many as the sets are long:
@@ -227,9 +243,10 @@ def close_pairs(docs: DataFrame, similarity: float = 0.8, width: int = 5, key: s
                     sizes.append(len(s))
                     bits.append(parity(s))
                     keys.append(s[np.argsort(rank, kind="stable")][: len(s) - least_common(len(s), similarity) + 1])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], names=["_key", "sig", "n", "keys", "bits"])
+                fps = pa.array(fingerprints(part.column(1).to_pylist()).view(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64())), fps], names=["_key", "sig", "n", "keys", "bits", "fp"])
 
-    keyed = stored(rows.mapInArrow(block, T.StructType([T.StructField("_key", kind), T.StructField("sig", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("bits", T.ArrayType(T.LongType()))])))
+    keyed = stored(rows.mapInArrow(block, T.StructType([T.StructField("_key", kind), T.StructField("sig", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("bits", T.ArrayType(T.LongType())), T.StructField("fp", T.LongType())])))
     classes = keyed.groupBy("sig").agg(F.min("_key").alias("v"), F.count("*").alias("c")).where("c > 1").select("sig", "v")
     same = stored(keyed.select("sig", F.col("_key").alias("u")).join(classes, "sig").where("u <> v").select("u", "v").distinct())
     once = keyed.join(small(same.select(F.col("u").alias("_copy")).distinct()), F.col("_key") == F.col("_copy"), "left_anti")
@@ -286,7 +303,9 @@ def close_pairs(docs: DataFrame, similarity: float = 0.8, width: int = 5, key: s
         rows = rows.where(F.col("_key") != F.col("prev._key")).where(possible(F.col("n"), F.col("pos"), F.col("prev.n"), F.col("prev.pos")))
         return rows.select(F.greatest("_key", "prev._key").alias("u"), F.least("_key", "prev._key").alias("v")).distinct()
 
-    tested = stored(pairs_of(places.where(F.col("prev").isNotNull())))
+    alike = stored(fingerprint_pairs(once.select("_key", "fp")))
+    release(spark)
+    tested = stored(pairs_of(places.where(F.col("prev").isNotNull())).unionAll(alike).distinct())
     linked, places = verified(hopeful(tested)), places.drop("prev")
     for turn in range(TURNS + 1):
         roots = stored(components(linked)).select("node", "root")
@@ -319,7 +338,7 @@ def one_of_each(docs: DataFrame, similarity: float = 0.8, key: str = "doc_id", t
     """The documents less all but the first key of each group of near copies, and less repeats of a row; rows without a key stay.
 
     Groups: components of pairs of that similarity in words of five; texts without a word are copies. Pairs within op3's two bits are
-    among them if they have that similarity, and stay apart if they don't. Rows of one key with different texts are documents of
+    searched first and are among them if they have that similarity, and stay apart if they don't. Rows of one key with different texts are documents of
     their own, each removed only for what its own text is like.
     """
     rows = docs.where(F.col(key).isNotNull())

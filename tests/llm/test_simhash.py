@@ -136,6 +136,34 @@ def test_equal_fingerprints_of_different_texts_stay(make):
     assert got == want == list(range(6))
 
 
+def test_fingerprint_pairs_give_the_components_of_op3(spark):
+    """Fingerprints of one row and of many, chains, and a crowd under one key; fewer pairs than a crowd's square."""
+    rng = random.Random(9)
+    fps = [rng.getrandbits(63) for _ in range(30)]
+    fps += [f ^ (1 << rng.randrange(63)) ^ (1 << rng.randrange(63)) for f in fps[:10]] + [fps[3]] * 40 + fps[20:25] + [fps[7] ^ (1 << i) for i in range(30)]
+    rng.shuffle(fps)
+    rows = [(i, f) for i, f in enumerate(fps)]
+    got = [(r["u"], r["v"]) for r in simhash.fingerprint_pairs(spark.createDataFrame(rows, "_key long, fp long")).collect()]
+    want = closed(range(len(fps)), [(a, b) for a, b in itertools.combinations(range(len(fps)), 2) if (fps[a] ^ fps[b]).bit_count() <= 2])
+    assert closed(range(len(fps)), got) == want and len(set(got)) == len(got) < 10 * len(fps) and all(u > v for u, v in got)
+
+
+def test_near_copies_are_found_by_their_fingerprints(make, monkeypatch):
+    """With no shingle as a key only op3's method is left: it finds light edits, and the exact similarity keeps unlike texts."""
+    rng = random.Random(10)
+    fresh = lambda n: " ".join(str(rng.getrandbits(40)) for _ in range(n))
+    rows, line = [], fresh(9)
+    for i in range(0, 24, 2):
+        t = fresh(3000)
+        rows += [(i, t), (i + 1, f"{t} {fresh(1)}")]
+    unlike = [(50 + i, f"{' '.join([line] * 100)} {fresh(300)}") for i in range(3)]
+    near = [i for i in range(0, 24, 2) if (fingerprint(rows[i][1]) ^ fingerprint(rows[i + 1][1])).bit_count() <= 2]
+    assert len(near) > 6
+    monkeypatch.setattr(simhash, "least_common", lambda n, similarity: n + 1)
+    got = {r["doc_id"] for r in simhash.one_of_each(make(rows + unlike)).collect()}
+    assert got == {i for i, _ in rows + unlike} - {i + 1 for i in near}
+
+
 def test_rows_of_one_key_with_texts_of_their_own(make, prose):
     """Each is a document: none goes for what another row of its key is like; a repeated row goes."""
     a, b, c = prose(61, 80), prose(62, 80), prose(63, 80)
