@@ -155,6 +155,8 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
 
 #: of a set's parity bits; rounds of linking a key's groups, as long as its pairs are over so many times its holders
 BITS, TURNS, DENSE = 512, 2, 8
+#: keys before a key that go with it, by which a pair that has met already is known
+BEFORE = 8
 
 
 def parity(hashes: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -204,6 +206,15 @@ def fingerprint_pairs(rows: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return within.unionAll(between).distinct()
 
 
+def with_keys_before(holders: DataFrame, most: int = BEFORE) -> DataFrame:
+    """Rows (_key, pos, k) with `before`, the last keys of the same document before this one.
+
+    Keys have one order, so a pair that also shares one of those has met under it or an earlier one: the first key that
+    a pair shares never has a shared one before it.
+    """
+    return holders.withColumn("before", F.collect_list("k").over(Window.partitionBy("_key").orderBy("pos").rowsBetween(-most, -1)))
+
+
 def close_pairs(docs: DataFrame, similarity: float = 0.8, width: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(u, v): links that give the components of "distinct shingles of `width` words have that Jaccard similarity or more".
 
@@ -216,7 +227,8 @@ def close_pairs(docs: DataFrame, similarity: float = 0.8, width: int = 5, key: s
 
     Work: equal shingle sets are one class. Then the fingerprints' pairs are tested, and each document meets the one next to it in size under each key. While the documents of a
     key that are not yet in one group would make far more pairs than they are, one of each group, drawn anew, meets that of the
-    largest group and those of the three next in size: a crowd of near copies falls together in linear size. What is still apart under a key meets in full. Before sets are
+    largest group and those of the three next in size: a crowd of near copies falls together in linear size. What is still apart under a key meets in full, less pairs
+    that share one of the few keys before it in both, which have met there. Before sets are
     fetched for a pair, its parity bits must allow the similarity, first a fixed number of them, then as many as the sets are long:
     they differ in no more places than the sets do.
     """
@@ -326,10 +338,10 @@ def close_pairs(docs: DataFrame, similarity: float = 0.8, width: int = 5, key: s
             break
     # both sides carry their bits into the join, so that it makes only pairs that these allow
     release(spark)
-    bits = apart.join(keyed.select("_key", "bits"), "_key")
-    x, y = (bits.select("k", *[F.col(c).alias(c + side) for c in ("_key", "n", "pos", "root", "bits")]) for side in "xy")
+    bits = with_keys_before(apart).join(keyed.select("_key", "bits"), "_key")
+    x, y = (bits.select("k", *[F.col(c).alias(c + side) for c in ("_key", "n", "pos", "root", "before", "bits")]) for side in "xy")
     both = x.join(y, "k").where((F.col("_keyx") > F.col("_keyy")) & (F.col("rootx") != F.col("rooty"))).where(possible(F.col("nx"), F.col("posx"), F.col("ny"), F.col("posy")))
-    both = both.where(differ(F.col("nx"), F.col("ny"), F.col("bitsx"), F.col("bitsy")))
+    both = both.where(~F.arrays_overlap("beforex", "beforey")).where(differ(F.col("nx"), F.col("ny"), F.col("bitsx"), F.col("bitsy")))
     rest = both.select(F.col("_keyx").alias("u"), F.col("_keyy").alias("v")).distinct().join(tested, ["u", "v"], "left_anti")
     return same.unionAll(linked).unionAll(verified(stored(rest)))
 

@@ -164,6 +164,31 @@ def test_near_copies_are_found_by_their_fingerprints(make, monkeypatch):
     assert got == {i for i, _ in rows + unlike} - {i + 1 for i in near}
 
 
+def test_a_pair_meets_first_under_its_first_key_and_seldom_again(spark):
+    """Documents of 60 of 80 keys each: every pair shares about 45, and meets under its first one and few others."""
+    rng = random.Random(11)
+    docs = {i: sorted(rng.sample(range(80), 60)) for i in range(12)}
+    rows = spark.createDataFrame([(i, pos, k) for i, ks in docs.items() for pos, k in enumerate(ks)], "_key long, pos int, k long")
+    x, y = (simhash.with_keys_before(rows).select("k", *[F.col(c).alias(c + side) for c in ("_key", "before")]) for side in "xy")
+    met = x.join(y, "k").where("_keyx > _keyy").where(~F.arrays_overlap("beforex", "beforey")).select("_keyx", "_keyy", "k").collect()
+    first = {(a, b, min(set(docs[a]) & set(docs[b]))) for a, b in itertools.permutations(docs, 2) if a > b}
+    assert first <= {tuple(r) for r in met} and len(met) < 1.1 * len(first)
+
+
+def test_long_near_copies_round_the_threshold(make, monkeypatch):
+    """They share many keys; without rounds of linking the meeting under the first one decides alone."""
+    rng = random.Random(12)
+    words, rows = [str(rng.getrandbits(40)) for _ in range(300)], []
+    for i in range(36):
+        w = list(words)
+        for at in rng.sample(range(300), rng.choice((3, 4, 5, 6, 7, 30))):
+            w[at] = str(rng.getrandbits(40))
+        rows.append((i, " ".join(w)))
+    monkeypatch.setattr(simhash, "TURNS", 0)
+    got, want = kept_and_wanted(make, rows)
+    assert got == want and 3 < len(want) < 30
+
+
 def test_rows_of_one_key_with_texts_of_their_own(make, prose):
     """Each is a document: none goes for what another row of its key is like; a repeated row goes."""
     a, b, c = prose(61, 80), prose(62, 80), prose(63, 80)
