@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LOCAL_CHECKPOINT_DIR = "/tmp/capweave-checkpoints"  # of a single machine, in tests
+BATCH_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,6 +88,17 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Rows go to Python in batches of about that many bytes from now on in this session, or of less if it is set so.
+
+    Spark fills them up to 10,000 rows or 64 MB, and each task holds a batch in the executor's buffers, which double as
+    they grow, and once more in its Python worker. No operator's result depends on where a batch ends.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > most:
+        spark.conf.set(name, str(most))
+
+
 def crc_of(doc_id: Column) -> Column:
     """crc32 of the id written as text; the folds of the learned operators come from it."""
     return F.crc32(doc_id.cast("string").cast("binary"))

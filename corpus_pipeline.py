@@ -2,7 +2,8 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's result as a table in the
 shared folder and reads it back as the next one's documents, so a lost executor costs at most its own stage. All
-stages but the last return the columns of documents.
+stages but the last return the columns of documents. Those with Python on executors hold the session's Arrow batches to
+a few MB, so that an executor's memory does not follow the length of texts.
 """
 
 from __future__ import annotations
@@ -10,11 +11,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from capweave.llm import decontam, langid, linededup, mix, simhash
-from capweave.llm.common import stored, table
+from capweave.llm.common import small_batches, stored, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or with a posterior under one half, go."""
+    small_batches(spark)
     return langid.accepted(docs, langid.train(docs.where(~langid.held_out())))
 
 
@@ -25,11 +27,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest doc_id of each near-duplicate group stays."""
+    small_batches(spark)
     return simhash.one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain a benchmark item go."""
+    small_batches(spark)
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 

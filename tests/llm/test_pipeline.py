@@ -4,8 +4,9 @@ import itertools
 import random
 
 import corpus_pipeline
+import pyarrow as pa
 import pytest
-from capweave.llm.common import scratch, stored
+from capweave.llm.common import BATCH_BYTES, scratch, small_batches, stored
 from capweave.llm.langid import first_of_each
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -106,3 +107,23 @@ def test_scratch_keeps_the_last_table_only(spark):
         path = kept.inputFiles()[0]
     with pytest.raises(AnalysisException):
         spark.read.parquet(path)
+
+
+@pytest.mark.parametrize("name", ["language_id", "near_dedup", "decontaminate"])
+def test_batches_of_long_texts_stay_small(spark, folder, name):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes]), pa.array([b.num_rows])], names=["bytes", "n"])
+
+    own = spark.newSession()
+    dict(corpus_pipeline.STAGES)[name](own, own.read.parquet(f"{folder}/documents.parquet"), folder)
+    long = own.range(2000, numPartitions=1).select("id", F.expr("repeat('word ', 2000)").alias("text"))
+    got = long.mapInArrow(sizes, "bytes long, n long").collect()
+    assert sum(r["n"] for r in got) == 2000 and max(r["bytes"] for r in got) < 1.1 * BATCH_BYTES
+
+
+def test_smaller_batches_stay_as_they_are(spark):
+    own = spark.newSession()
+    own.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "1m")
+    small_batches(own)
+    assert own.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "1m"
